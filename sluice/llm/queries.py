@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
+from .lines import op1_line_dedup
+from .near import op8_near_duplicates
 from .pieces import op3_pieces
 from .sharding import op2_consistent_shards
 from .warc import ORACLE as WARC_ORACLE
 from .warc import op5_warc
 
 
+QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op8_near_duplicates)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
