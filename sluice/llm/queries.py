@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
+from .language import op6_language
 from .lines import op1_line_dedup
 from .near import op8_near_duplicates
 from .pieces import op3_pieces
@@ -11,7 +12,7 @@ from .warc import ORACLE as WARC_ORACLE
 from .warc import op5_warc
 
 
-QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op8_near_duplicates)
+QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op6_language, op8_near_duplicates)
 
 
 def queries() -> dict:
