@@ -8,11 +8,12 @@ from .lines import op1_line_dedup
 from .near import op8_near_duplicates
 from .pieces import op3_pieces
 from .sharding import op2_consistent_shards
+from .suffixes import op10_repeated_passages
 from .warc import ORACLE as WARC_ORACLE
 from .warc import op5_warc
 
 
-QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op6_language, op8_near_duplicates)
+QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op6_language, op8_near_duplicates, op10_repeated_passages)
 
 
 def queries() -> dict:
