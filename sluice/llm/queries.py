@@ -6,6 +6,7 @@ from .fingerprints import op4_fingerprints
 from .language import op6_language
 from .lines import op1_line_dedup
 from .near import op8_near_duplicates
+from .neighbours import op7_near_vectors
 from .packing import op9_packing
 from .pieces import op3_pieces
 from .sharding import op2_consistent_shards
@@ -14,7 +15,7 @@ from .warc import ORACLE as WARC_ORACLE
 from .warc import op5_warc
 
 
-QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op6_language, op8_near_duplicates, op9_packing, op10_repeated_passages)
+QUERIES = (op1_line_dedup, op2_consistent_shards, op3_pieces, op4_fingerprints, op5_warc, op6_language, op7_near_vectors, op8_near_duplicates, op9_packing, op10_repeated_passages)
 
 
 def queries() -> dict:
