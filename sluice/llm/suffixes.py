@@ -244,7 +244,7 @@ _KEYS = {"bucket": pa.int64(), "chunk": pa.int64(), "keys": pa.binary()}
 _STRETCHES = {"bucket": pa.int64(), "chunk": pa.int64(), "contents": pa.binary(), "low": pa.binary(), "high": pa.binary()}
 _VERDICTS = {"chunk": pa.int64(), "bucket": pa.int64(), "runs": pa.binary()}
 _RUN = np.dtype([("content", "<u4"), ("first", "u1"), ("last", "u1"), ("low", "<i8")])
-_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 _SQL = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
 
 
@@ -374,14 +374,17 @@ def _apply(buckets: int, keep_text: bool):
             n = int(mask.sum())
             spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if n else 0
             kept = chunk.bytes[start : start + size][~mask].tobytes() if n else data
-            out.append((i, size, n, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            out.append((i, size, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
         return out
 
     return run
 
 
 def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) ``kept``, the bytes that stay, of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) ``kept`` of each document.
+
+    kept: the bytes that stay as text; where a cut divides a character, its left-over bytes go too.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
