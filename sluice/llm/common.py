@@ -39,6 +39,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str, tag: str) -> DataFrame:
+    """Write ``df``, which is partitioned by ``key`` already, as a table of that many buckets in the shared folder.
+
+    Joins and groups by ``key`` then read it in place, and only what they bring is shuffled.
+    """
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    out = df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, tag)).option("compression", "zstd")
+    out.format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

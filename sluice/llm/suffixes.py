@@ -22,7 +22,6 @@ table gives an empty result; only id and text are read, so other columns cannot
 from __future__ import annotations
 
 import hashlib
-import uuid
 from math import ceil
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import bucketed, materialize
 
 LENGTH = 50
 GRAM = 20
@@ -159,7 +158,9 @@ class Chunk:
             span *= 2
         if span < STARTS:
             h = np.minimum(h[: span - STARTS], h[STARTS - span :])
-        # h[p] is the key of the string at p; strings must lie in one document
+        # h[p] is the key of the string at p; strings must lie in one document. Least hashes are small numbers:
+        # a product that can be undone spreads them over the buckets
+        h = h * _ODD[0] & np.uint64((1 << KEY_BITS) - 1)
         doc = np.repeat(np.arange(len(self.size)), self.size)[: len(h)]
         at = np.flatnonzero(np.arange(len(h)) + LENGTH <= (self.start + self.size)[doc])
         if self.ids and any(i is None for i in self.ids):
@@ -380,7 +381,7 @@ def _apply(buckets: int, keep_text: bool):
     return run
 
 
-def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int = 2 << 20, bucket_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) ``kept`` of each document.
 
     kept: the bytes that stay as text; where a cut divides a character, its left-over bytes go too.
@@ -393,10 +394,8 @@ def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int
     chunks, buckets = ceil(((total or 0) + 1) / chunk_bytes), ceil(((total or 0) + 1) / bucket_bytes)
     tasks = max(1, min(chunks, 20_000))
     # held once in files by chunk, so that later joins by chunk move what they bring, and no texts
-    name = f"chunks_{uuid.uuid4().hex}"
-    held = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    held.repartition(tasks, "chunk").write.bucketBy(tasks, "chunk").sortBy("chunk").option("path", scratch_path(spark, "chunks")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    held = spark.table(name)
+    held = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(tasks, "chunk")
+    held = bucketed(held, tasks, "chunk", "chunks")
     keys = held.sortWithinPartitions("chunk").mapInArrow(_emit_keys(buckets), _schema(_KEYS))
     told = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match_keys, _schema(_KEYS))
     told = materialize(told, "keys")
