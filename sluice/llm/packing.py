@@ -15,6 +15,8 @@ empty result; only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,6 +32,14 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 64  # a seed's query has its terms of most weight
 
 
+_BELOW = [chr(c) for c in range(0x180)]
+_LETTER, _DIGIT = ("".join(re.escape(c) for c in _BELOW if unicodedata.category(c)[0] == k) for k in "LN")
+_MARK = "".join(re.escape(c) for c in _BELOW if unicodedata.category(c)[0] in "PSC" and not c.isspace())
+_LATIN = re.compile(f"[{_LETTER}{_DIGIT}{_MARK}]+")
+# The contractions that the tokenizer's pattern names, before letters, single digits and the rest.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}]+")
+
+
 class WordEncoder:
     """Ids of a text, put together from those of its stretches between ASCII white space.
 
@@ -37,13 +47,13 @@ class WordEncoder:
     stretches are independent. Their ids are remembered, up to a bounded number.
     """
 
-    def __init__(self, tokenizer_file: str, remember: int = 700_000):
+    def __init__(self, tokenizer_file: str, remember: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.remember, self.known = remember, {}
+        self.remember, self.known, self.parts = remember, {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16- or 32-bit ids of each text, as ``dtype`` says."""
@@ -53,14 +63,26 @@ class WordEncoder:
         if len(known) + len(new) > self.remember:  # only a memory of work done
             known.clear()
             new = {w for words in split for w in words}
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
+        if len(self.parts) > self.remember // 2:
+            self.parts.clear()
+        divided = {w: self._divide(w.decode("utf-8", "surrogatepass")) for w in new}
+        parts = self.parts
+        need = list({p for ps in divided.values() for p in ps if p not in parts})
+        for i in range(0, len(need), 20_000):
+            some = need[i : i + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                parts[p] = np.array(e.ids, self.dtype).tobytes()
+        for w, ps in divided.items():
+            known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
         return [b"".join([known[w] for w in words]) for words in split]
 
+    @staticmethod
+    def _divide(stretch: str) -> list[str]:
+        """The tokenizer's own pieces of a stretch of Latin letters, digits and marks; any other stretch is left whole."""
+        if _LATIN.fullmatch(stretch) and "<|" not in stretch:
+            return _PIECE.findall(stretch.lower()) or [stretch]
+        return [stretch]
+
     @property
     def dtype(self):
         return np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
