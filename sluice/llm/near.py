@@ -131,17 +131,33 @@ def _linked(sets: list[np.ndarray]):
     yield from link_candidates([list(b) for b in sorted(distinct, key=lambda b: (-len(b), b))], len(sets), similar)
 
 
-def chosen_paths(classes: DataFrame, trees: int, levels: int, max_ids: int, max_weight: int) -> DataFrame:
+def root_paths(recall: float) -> list[tuple[int, int]]:
+    """(tree, function) of the roots' children, so many that pairs at the threshold are met with probability ``recall``.
+
+    Such a pair shares a function's token with probability p = PERCENT / 100, and shares a child of a node in which
+    1 / p functions are chosen in the mean with probability 1 - 1/e; so it meets below a second level in any one path
+    with probability p (1 - 1/e). Paths of different functions are independent.
+    """
+    p = PERCENT / 100
+    wanted = min(FUNCTIONS, math.ceil(math.log(1 - recall) / math.log(1 - p * (1 - math.exp(-1)))))
+    rng, roots, seen = np.random.default_rng(77), [], set()
+    for tree in range(100 * FUNCTIONS):
+        if len(seen) >= wanted:
+            break
+        for c in np.flatnonzero(rng.random(FUNCTIONS) < 1 / (p * FUNCTIONS)).tolist():
+            if c not in seen:
+                seen.add(c)
+                roots.append((tree, c))
+    return roots
+
+
+def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int, max_weight: int) -> DataFrame:
     """``node, id`` groups in which any two classes at the threshold meet with high probability.
 
     classes: ``id, weight, signature``. A node over the limits branches again, up to ``levels`` times.
     """
     spread = math.ceil(PERCENT * FUNCTIONS / 100)  # each function is chosen with probability 1 / spread
-    rng = np.random.default_rng(77)
-    roots = [(t, c) for t in range(trees) for c in np.flatnonzero(rng.random(FUNCTIONS) < 1 / spread).tolist()]
-    unused = sorted(set(range(FUNCTIONS)) - {c for _, c in roots})
-    roots += [(trees + i, c) for i, c in enumerate(unused)]
-    paths = F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in roots))
+    paths = F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in root_paths(recall)))
     nodes = classes.select("id", "weight", F.explode(paths).alias("node"))
     done = None
     for _ in range(levels):
@@ -160,13 +176,13 @@ def chosen_paths(classes: DataFrame, trees: int, levels: int, max_ids: int, max_
     return nodes if done is None else done.unionByName(nodes)
 
 
-def near_duplicates(docs: DataFrame, trees: int = 20, levels: int = 3, max_ids: int = 1500, max_weight: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, max_ids: int = 1500, max_weight: int = 4_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document."""
     sketch = materialize(sketches(docs), "sketches")
     full = sketch.where("n_shingles > 0")
     classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("weight"), F.first("signature").alias("signature"))
     classes = materialize(classes.where("id is not null"), "classes")
-    nodes = chosen_paths(classes.select("id", "weight", "signature"), trees, levels, max_ids, max_weight)
+    nodes = chosen_paths(classes.select("id", "weight", "signature"), recall, levels, max_ids, max_weight)
     nodes = bounded_nodes(nodes, max_ids, max_weight)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("content"))
     links = compare_nodes(nodes, texts, shingles, _linked)
