@@ -3,8 +3,8 @@
 Lines are normalised (lower case, runs of anything but letters and digits made one space) and
 get a 64-bit SimHash of their words. Two different lines are linked if their SimHashes differ in
 at most 3 bits and the edit similarity of their normalised forms is 0.75 or more. Any two such
-SimHashes agree in three of six blocks of their bits, so lines meet by the 20 ways of choosing
-three blocks. Of each connected group of lines one occurrence stays: that of the smallest
+SimHashes agree in all but three of some blocks of their bits (five, more for very many lines), so lines
+meet in one of the ways of choosing these blocks. Of each connected group of lines one occurrence stays: that of the smallest
 (doc_id, position); exact repeats are in one group from the start and are never expanded to pairs.
 
 Cases: lines whose normalised form has fewer than ``min_chars`` characters always stay; a null
@@ -16,6 +16,7 @@ clash with working columns cannot occur because the work is done on id and text
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -24,26 +25,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import bucketed, components, materialize
 from .groups import bounded_nodes, compare_nodes, link_candidates
 
 RADIUS = 3
-BLOCKS = 6
-CUTS = [0, 11, 22, 33, 44, 54, 64]
 SIMILARITY = 0.75
+_WORD = re.compile(r"[^\W_]+")
 
 
-def normalised(line):
-    """Column of a line's normalised form."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(line: str) -> list[str]:
+    """Words of a line's normalised form, which is these joined by single spaces."""
+    return _WORD.findall(line.lower())
 
 
-def simhash(line: str, known: dict[str, int]) -> int:
-    """Sign of the sum of the words' hashes, bit by bit, over distinct words."""
-    words = set(line.split(" "))
-    hashes = np.fromiter(map(known.__getitem__, words), ">u8", len(words))
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words)).view(">u8")[0])
+def simhashes(lines: list[list[str]], known: dict[str, int]) -> np.ndarray:
+    """Sign of the sum of the words' hashes, bit by bit, over each line's distinct words."""
+    sets = [set(words) for words in lines]
+    out, at = np.zeros(len(lines), np.uint64), 0
+    while at < len(sets):  # some hundred thousand words at a time
+        end, size = at, 0
+        while end < len(sets) and (end == at or size + len(sets[end]) <= 1 << 17):
+            size += len(sets[end])
+            end += 1
+        part = [s or {""} for s in sets[at:end]]
+        sizes = np.array([len(s) for s in part])
+        hashes = np.fromiter((known[w] for s in part for w in s), ">u8", int(sizes.sum()))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+        out[at:end] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").reshape(-1)
+        at = end
+    return out
 
 
 class _Words(dict):
@@ -97,77 +108,134 @@ def _linked(items: list[tuple[str, int]]):
     yield from link_candidates([list(range(len(items)))], len(items), similar)
 
 
+def _prepared(line: str) -> tuple[str, int]:
+    return line, int(simhashes([line.split(" ")], _WORDS)[0])
+
+
+def block_cuts(n_lines: int) -> list[int]:
+    """Borders of the SimHash's blocks. More lines take more blocks, so that keys stay rare; the links are the same."""
+    blocks = next((b for b in (5, 6, 7, 8) if n_lines < 1 << int(64 * (b - RADIUS) / b) + 3), 9)
+    return [round(64 * i / blocks) for i in range(blocks + 1)]
+
+
+def bucket_keys(cuts: list[int]):
+    """Array of keys: for each way to choose all blocks but RADIUS, its number and the chosen bits."""
+    keys = []
+    for number, chosen in enumerate(combinations(range(len(cuts) - 1), len(cuts) - 1 - RADIUS)):
+        key = F.lit(number).cast("long")
+        for b in chosen:
+            width = cuts[b + 1] - cuts[b]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("simhash", cuts[b]).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(key)
+    return F.array(*keys)
+
+
 def _close(batches):
     """Ids of each bucket that have another within the radius, under a node of their own for each set connected so."""
-    bucket, ids, hashes, out = None, [], [], ([], [])
-
-    def flush():
-        if len(ids) < 2:
-            return
-        values, inverse = np.unique(np.array(hashes, np.int64).view(np.uint64), return_inverse=True)
-        label = np.arange(len(values))
-        for i in range(len(values)):  # a row of the distance table at a time
-            near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= RADIUS) + i + 1
-            if len(near):
-                joined = np.unique(np.append(label[near], label[i]))
-                label[np.isin(label, joined)] = joined[0]
-        label = label[inverse]
-        size = np.bincount(label)
-        for i, of in zip(ids, label.tolist(), strict=True):
-            if size[of] > 1:
-                out[0].append(xxhash.xxh64_intdigest(f"{bucket} {of}") - (1 << 63))
-                out[1].append(i)
-
-    def batch():
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "id"])
-        for c in out:
-            c.clear()
-        return made
+    rest = tuple(np.zeros(0, np.int64) for _ in range(3))
+
+    def groups(bucket, ids, hashes):
+        nodes, members = [], []
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(first, len(bucket)))
+        for start, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            values, inverse = np.unique(hashes[start : start + n].view(np.uint64), return_inverse=True)
+            label = np.arange(len(values))
+            for i in range(len(values) - 1):  # a row of the distance table at a time
+                near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= RADIUS) + i + 1
+                if len(near):
+                    joined = np.unique(np.append(label[near], label[i]))
+                    label[np.isin(label, joined)] = joined[0]
+            label = label[inverse]
+            many = np.bincount(label)[label] > 1
+            if many.any():
+                node = {of: xxhash.xxh64_intdigest(f"{bucket[start]} {of}") - (1 << 63) for of in np.unique(label[many]).tolist()}
+                nodes += [node[of] for of in label[many].tolist()]
+                members.append(ids[start : start + n][many])
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(members) if members else [], pa.int64())], ["node", "id"])
 
     for b in batches:
-        for k, i, h in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            if k != bucket:
-                flush()
-                bucket, ids, hashes = k, [], []
-            ids.append(i)
-            hashes.append(h)
-        yield batch()
-    flush()
-    yield batch()
-
-
-def _hashed(batches):
-    for b in batches:
-        hashes = np.array([simhash(t, _WORDS) for t in b.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes.view(np.int64))], ["id", "simhash"])
-
-
-def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, position, line (normalised) of each line long enough."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("position", "raw"))
-    return rows.select("doc_id", "position", normalised("raw").alias("line")).where(F.length("line") >= min_chars)
+        now = tuple(np.concatenate([r, b.column(c).to_numpy()]) for c, r in enumerate(rest))
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
+        rest = tuple(c[cut:] for c in now)
+        if cut:
+            yield groups(*(c[:cut] for c in now))
+    if len(rest[0]):
+        yield groups(*rest)
+
+
+_STEP = 256  # documents whose words are held at a time
+
+
+def _lines(batch, min_chars: int):
+    """(id, doc_id, position, words, line) of each line long enough, a list for some documents at a time."""
+    for start in range(0, batch.num_rows, _STEP):
+        part, rows = batch.slice(start, _STEP), []
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for position, raw in enumerate((text or "").split("\n")):
+                if len(raw) >= min_chars // 3:
+                    words = words_of(raw)
+                    line = " ".join(words)
+                    if len(line) >= min_chars:
+                        rows.append((xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63), doc_id, position, words, line))
+        yield rows
+
+
+def _distinct(min_chars: int):
+    """Distinct lines of each batch with their first occurrence, number and SimHash: combined before any shuffle."""
+
+    def run(batches):
+        for b in batches:
+            seen: dict[int, list] = {}
+            for rows in _lines(b, min_chars):
+                new = {}
+                for i, doc_id, position, words, line in rows:
+                    if i in seen:
+                        s = seen[i]
+                        s[0], s[1] = min(s[0], (doc_id, position)), s[1] + 1
+                    else:
+                        seen[i] = [(doc_id, position), 1, 0, line]
+                        new[i] = words
+                for i, h in zip(new, simhashes(list(new.values()), _WORDS).view(np.int64).tolist(), strict=True):
+                    seen[i][2] = h
+            values = list(seen.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.int64()), pa.array([v[0][0] for v in values], pa.int64()), pa.array([v[0][1] for v in values], pa.int32()), *(pa.array([v[k] for v in values], pa.int64()) for k in (1, 2)), pa.array([v[3] for v in values], pa.string())],
+                ["id", "doc_id", "position", "n", "simhash", "line"],
+            )
+
+    return run
+
+
+def _occurrences(min_chars: int):
+    def run(batches):
+        for b in batches:
+            for rows in _lines(b, min_chars):
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["id", "doc_id", "position"])
+
+    return run
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 30, max_ids: int = 2000, max_weight: int = 4_000_000) -> DataFrame:
     """``doc_id, position`` of all line occurrences that another occurrence makes redundant."""
-    lines = line_occurrences(docs, min_chars).withColumn("id", F.xxhash64("line"))
-    distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    distinct = materialize(distinct, "lines")
-    hashed = materialize(distinct.select("id", "line").mapInArrow(_hashed, "id long, simhash long"), "simhash")
-    masks = [sum((1 << CUTS[b + 1]) - (1 << CUTS[b]) for b in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - RADIUS)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
-    buckets = hashed.select(F.explode(keys).alias("bucket"), "id", "simhash").repartition("bucket").sortWithinPartitions("bucket", "id")
-    nodes = buckets.mapInArrow(_close, "node long, id long")
-    sizes = distinct.select("id", F.length("line").alias("weight"))
-    nodes = bounded_nodes(nodes.join(sizes, "id"), max_ids, max_weight)
-    links = compare_nodes(nodes, distinct.select("id", F.col("line").alias("content")), lambda line: (line, simhash(line, _WORDS)), _linked)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = docs.mapInArrow(_distinct(min_chars), "id long, doc_id long, position int, n long, simhash long, line string").repartition(parts, "id")
+    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.sum("n").alias("n"), F.first("simhash").alias("simhash"), F.first("line").alias("line"))
+    distinct = bucketed(distinct.withColumn("weight", F.length("line")), parts, "id", "lines")
+    keys = bucket_keys(block_cuts(distinct.count()))
+    buckets = distinct.select(F.explode(keys).alias("bucket"), "id", "simhash").repartition("bucket").sortWithinPartitions("bucket")
+    nodes = bounded_nodes(buckets.mapInArrow(_close, "node long, id long").join(distinct.select("id", "weight"), "id"), max_ids, max_weight)
+    links = compare_nodes(nodes, distinct.select("id", F.col("line").alias("content")), _prepared, _linked)
     groups = components(links).withColumnRenamed("node", "id")
     named = distinct.select("id", "first", "n").join(groups, "id", "left").where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("component"), "first")
     named = materialize(named, "repeats")
     kept = named.groupBy("component").agg(F.min("first").alias("kept"))
     named = named.select("id", "component").join(kept, "component").select("id", "kept")
-    return lines.select("id", "doc_id", "position").join(named, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("position") != F.col("kept.position"))).select("doc_id", "position").distinct()
+    lines = docs.mapInArrow(_occurrences(min_chars), "id long, doc_id long, position int")
+    return lines.join(named, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("position") != F.col("kept.position"))).select("doc_id", "position").distinct()
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
