@@ -2,8 +2,9 @@
 
 A K-neighbour graph starts from random-projection trees and is refined by joining the neighbours of
 each vector with each other, until few lists change. Links at the threshold or over connect vectors
-into components. A vector whose whole list is links is saturated: its list is enlarged to all members
-of its component, which has every vector it can be linked with; there all links are counted exactly.
+into components. A vector whose whole list is links is saturated: others it is linked with may be in no list, but
+then they are saturated too. So components of more vectors than a list holds are bridged exactly, by pivots and
+radii and, where these leave it open, by all members that can be linked. In a component all links are counted exactly.
 A component too large for one task is counted in blocks: vectors within half the threshold's angle of
 its pivot are all linked with each other and need no comparison, the others are held against every block.
 Recall is audited against brute force on a bounded sample, and more trees are grown until it suffices.
@@ -227,6 +228,80 @@ def count_links(members: DataFrame, block: int = 2000) -> DataFrame:
     return compared.unionByName(sure).groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
+def _pairs(rows: DataFrame, by: str, key: str, block: int) -> DataFrame:
+    """``rows`` with a ``cell``, sorted by it, so that any two rows of equal ``by`` are together in some cell of about 2 blocks."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    rows = rows.join(sizes, by).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("cell", F.concat_ws("/", by, F.least("block", "other"), F.greatest("block", "other")))
+    return rows.repartition("cell").sortWithinPartitions("cell", key)
+
+
+def _angle(v: bytes, w: bytes) -> float:
+    return float(np.arccos(np.clip(np.frombuffer(v) @ np.frombuffer(w), -1.0, 1.0)))
+
+
+def bridge(points: DataFrame, found: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """``node, component`` with components of more than k vectors joined wherever two of their vectors are linked.
+
+    The pivot of a component is its vector of least id, which names it. Two components can have a link only if their
+    pivots' angle is at most the sum of their radii and the threshold's angle; all such pairs are decided exactly.
+    """
+    theta = float(np.arccos(THRESHOLD)) + 1e-7  # wider than rounding near 1, so no link is ruled out
+    large = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > k).select("component")
+    members = found.join(large, "component").withColumnRenamed("node", "id").join(points, "id")
+    pivots = points.select(F.col("id").alias("component"), F.col("vec").alias("pivot"))
+
+    def angles(batches):
+        for b in batches:
+            vecs, pivot = (b.column(c).to_pylist() for c in ("vec", "pivot"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "id", "part", "vec")), pa.array([_angle(v, p) for v, p in zip(vecs, pivot, strict=True)], pa.float64())], ["component", "id", "part", "vec", "angle"])
+
+    members = members.join(pivots, "component").select("component", "id", "part", "vec", "pivot")
+    members = materialize(members.mapInArrow(angles, "component long, id long, part string, vec binary, angle double"), "bridged")
+    heads = members.groupBy("component").agg(F.first("part").alias("part"), F.max("angle").alias("radius")).join(pivots, "component")
+    heads = materialize(heads, "heads")
+
+    def candidates(batches):
+        for rows in _groups(batches, ["cell", "component", "pivot", "radius"]):
+            ids, radius = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+            sim = (v := np.stack([np.frombuffer(r[2]) for r in rows])) @ v.T
+            near = np.arccos(np.clip(sim, -1, 1)) <= radius[:, None] + radius[None, :] + theta
+            row, col = np.nonzero(near & (ids[:, None] < ids[None, :]))
+            yield _links_batch(ids[row], ids[col], sim[row, col])
+
+    cells = _pairs(heads, "part", "component", block)
+    pairs = materialize(cells.select("cell", "component", "pivot", "radius").mapInArrow(candidates, "a long, b long, sim double").select("a", "b", "sim").dropDuplicates(["a", "b"]), "candidates")
+    sure = pairs.where(F.col("sim") >= THRESHOLD).select("a", "b")
+    merged = materialize(components(sure), "merged")
+    of = lambda side: merged.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    undecided = pairs.where(F.col("sim") < THRESHOLD).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    undecided = materialize(undecided.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"), "undecided")
+
+    def within(batches):
+        for b in batches:
+            vecs, pivot, radius = (b.column(c).to_pylist() for c in ("vec", "pivot", "radius"))
+            keep = [_angle(v, p) <= r + theta for v, p, r in zip(vecs, pivot, radius, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b", "side", "id", "vec")], ["a", "b", "side", "id", "vec"])
+
+    sides = [undecided.select("a", "b", F.lit(s).alias("side"), F.col(own).alias("component"), F.col(other).alias("beside")) for s, own, other in ((0, "a", "b"), (1, "b", "a"))]
+    sides = sides[0].unionByName(sides[1]).join(heads.select(F.col("component").alias("beside"), "pivot", "radius"), "beside").join(members.select("component", "id", "vec"), "component")
+    sides = materialize(sides.select("a", "b", "side", "id", "vec", "pivot", "radius").mapInArrow(within, "a long, b long, side int, id long, vec binary"), "sides")
+
+    def meets(batches):
+        a, b = [], []
+        for rows in _groups(batches, ["cell", "a", "b", "side", "vec"]):
+            one, two = ([np.frombuffer(r[4]) for r in rows if r[3] == s] for s in (0, 1))
+            if one and two and (np.stack(one) @ np.stack(two).T >= THRESHOLD).any():
+                a.append(rows[0][1]), b.append(rows[0][2])
+        yield _links_batch(a, b, [1.0] * len(a))
+
+    cells = _pairs(sides.withColumn("pair", F.concat_ws("/", "a", "b")), "pair", "id", block)
+    met = cells.select("cell", "a", "b", "side", "vec").mapInArrow(meets, "a long, b long, sim double").select("a", "b")
+    merged = materialize(components(sure.unionByName(met)), "merged").withColumnRenamed("component", "whole").withColumnRenamed("node", "component")
+    return found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def audit(points: DataFrame, counted: DataFrame, sample: int) -> float:
     """Share of a bounded sample's links, by brute force, that were found."""
     chosen = points.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
@@ -275,7 +350,8 @@ def near_vectors(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 4
             if changed <= 0.001 * graph.count():
                 break
         links = flat(graph)
-        found = components(links.where(F.col("sim") >= THRESHOLD).select("a", "b"))
+        found = materialize(components(links.where(F.col("sim") >= THRESHOLD).select("a", "b")), "found")
+        found = materialize(bridge(points, found, k), "found")
         members = found.withColumnRenamed("node", "id").join(points.select("id", "vec"), "id")
         counted = materialize(count_links(members), "counted")
         if audit(points, counted, sample) >= least_recall:

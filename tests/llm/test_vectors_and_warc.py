@@ -54,6 +54,23 @@ def test_large_components_count_all_links(vectors, spark):
     assert {r.id: r.n_links for r in counted.collect() if r.n_links} == {i: links[i] for i in ids if links[i]}
 
 
+@pytest.mark.parametrize("apart", [0.0, 0.01])
+def test_saturated_groups_are_linked(spark, apart):
+    """Groups of more copies than a list holds, linked with each other; with ``apart`` not by the copies but by some of them."""
+    r, rows = np.random.default_rng(8), list(np.random.default_rng(9).normal(size=(60, 16)))
+    one, up, side = np.linalg.qr(r.normal(size=(16, 3)))[0].T
+    for n, angle in ((30, 0.0), (30, 0.19 + apart), (25, 1.0)):
+        center = one * np.cos(angle) + up * np.sin(angle)
+        rows += [center * (1 + 1e-3 * i) + side * 1e-3 * (i % 5) for i in range(n)]
+    if apart:
+        rows[60 + 29], rows[90 + 29] = (one * np.cos(x) + up * np.sin(x) for x in (0.005, 0.19))
+    data = [(i, v.tolist(), 0, 1, "p", 2) for i, v in enumerate(rows)]
+    links, low = brute(data)
+    assert low[90] == 60
+    found = {r.vec_id: r for r in neighbours.near_vectors(spark.createDataFrame(data, V)).collect()}
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in found.items()} == {i: (links[i], low[i], low[i] == i) for i in low}
+
+
 def test_no_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], V)).collect() == []
     twice = spark.createDataFrame([(1, [1.0, 0.0], 1, 0, "", 0)] * 2 + [(None, [1.0, 0.0], 1, 0, "", 0)], V)
