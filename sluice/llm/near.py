@@ -2,11 +2,11 @@
 
 A document's set has its distinct five-word shingles. Documents with equal sets are one class;
 classes are then sent down random trees. At each node a random few of the minwise functions
-are chosen, 1/similarity in the mean, and a class goes to the child named by its minwise token
-for each of them, so that two classes at the threshold meet in about one child in the mean
+are chosen, two in the mean, and a class goes to the child named by its minwise token
+for each of them, so that two classes at the threshold meet in one or two children in the mean
 and unlike ones part at once. Nodes small enough are compared exhaustively on full sets, with
 prefix filtering; larger ones branch again, and what is still large at the last level is
-compared in blocks, whole. Independent trees are repeated to the target recall.
+compared in blocks, whole. Trees are repeated to the target recall at the deepest level.
 
 Cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer words
 than a shingle is one shingle; rows with equal sets are linked; rows that share an id are in one class or
@@ -31,6 +31,7 @@ from .groups import bounded_nodes, compare_nodes, link_candidates
 WORDS = 5
 PERCENT = 75  # least 100 * |A & B| / |A | B| of a link
 FUNCTIONS = 32
+SPREAD = 16  # a node that branches chooses each function with probability 1 / SPREAD
 _RNG = np.random.default_rng(20_24)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
@@ -131,24 +132,42 @@ def _linked(sets: list[np.ndarray]):
     yield from link_candidates([list(b) for b in sorted(distinct, key=lambda b: (-len(b), b))], len(sets), similar)
 
 
-def root_paths(recall: float) -> list[tuple[int, int]]:
-    """(tree, function) of the roots' children, so many that pairs at the threshold are met with probability ``recall``.
+def met(paths: int, levels: int) -> float:
+    """Probability that a pair at the threshold shares a node ``levels`` below the root, of root paths of so many functions.
 
-    Such a pair shares a function's token with probability p = PERCENT / 100, and shares a child of a node in which
-    1 / p functions are chosen in the mean with probability 1 - 1/e; so it meets below a second level in any one path
-    with probability p (1 - 1/e). Paths of different functions are independent.
+    All nodes draw on the same functions. The pair agrees in s of them, s binomial; each child of a shared node is shared if
+    its function is among these, and of the root's paths as many as a draw without repetition from all functions gives.
     """
-    p = PERCENT / 100
-    wanted = min(FUNCTIONS, math.ceil(math.log(1 - recall) / math.log(1 - p * (1 - math.exp(-1)))))
+    p, lost = PERCENT / 100, 0.0
+    for s in range(FUNCTIONS + 1):
+        below = 1.0
+        for _ in range(levels):
+            below = 1 - (1 - below / SPREAD) ** s
+        ways = ((math.comb(s, m) * math.comb(FUNCTIONS - s, paths - m), m) for m in range(min(s, paths) + 1))
+        apart = sum(w * (1 - below) ** m for w, m in ways) / math.comb(FUNCTIONS, paths)
+        lost += math.comb(FUNCTIONS, s) * p**s * (1 - p) ** (FUNCTIONS - s) * apart
+    return 1 - lost
+
+
+def root_paths(recall: float, levels: int) -> tuple[list[tuple[int, int]], int]:
+    """(tree, function) of the roots' children, so many that ``recall`` is reached ``levels`` below them, and how many all classes take.
+
+    Nodes that never branch lose a pair only if it agrees in none of their functions, so few paths do for them; two classes
+    that meet in a large node only both take the others too.
+    """
+    wanted = next((n for n in range(1, FUNCTIONS + 1) if min(met(n, k) for k in range(levels + 1)) >= recall), None)
+    if wanted is None:
+        raise ValueError(f"near-duplicates: {FUNCTIONS} functions do not reach a recall of {recall} at {levels} levels")
+    few = next((n for n in range(1, wanted) if 1 - met(n, 0) <= (1 - recall) / 100_000), wanted)
     rng, roots, seen = np.random.default_rng(77), [], set()
-    for tree in range(100 * FUNCTIONS):
-        if len(seen) >= wanted:
-            break
-        for c in np.flatnonzero(rng.random(FUNCTIONS) < 1 / (p * FUNCTIONS)).tolist():
-            if c not in seen:
+    tree = 0
+    while len(seen) < wanted:
+        for c in np.flatnonzero(rng.random(FUNCTIONS) < 1 / (PERCENT / 100 * FUNCTIONS)).tolist():
+            if c not in seen and len(seen) < wanted:
                 seen.add(c)
                 roots.append((tree, c))
-    return roots
+        tree += 1
+    return roots, few
 
 
 def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int, max_weight: int) -> DataFrame:
@@ -156,19 +175,28 @@ def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int, m
 
     classes: ``id, weight, signature``. A node over the limits branches again, up to ``levels`` times.
     """
-    spread = math.ceil(PERCENT * FUNCTIONS / 100)  # each function is chosen with probability 1 / spread
-    paths = F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in root_paths(recall)))
-    nodes = classes.select("id", "weight", F.explode(paths).alias("node"))
-    done = None
-    for _ in range(levels):
+    roots, few = root_paths(recall, levels)
+
+    def below(rows, paths):
+        return rows.select("id", "weight", F.explode(F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in paths))).alias("node"))
+
+    def over(nodes):
+        return nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where((F.col("n") > max_ids) | (F.col("w") > max_weight)).select("node", F.lit(True).alias("large"))
+
+    nodes, done = below(classes, roots[:few]), None
+    for level in range(levels):
         nodes = materialize(nodes, "level")
-        large = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where((F.col("n") > max_ids) | (F.col("w") > max_weight)).select("node", F.lit(True).alias("large"))
+        large = over(nodes)
         if is_empty(large):
             break
+        if not level and few < len(roots):
+            hot = nodes.join(large, "node").select("id").distinct()
+            nodes = nodes.select("id", "weight", "node").unionByName(materialize(below(classes.join(hot, "id"), roots[few:]), "level"))
+            large = over(nodes)
         split = nodes.join(large, "node", "left")
         small = split.where("large is null").select("node", "id", "weight")
         done = small if done is None else done.unionByName(small)
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda c: F.pmod(F.xxhash64("node", c), F.lit(spread)) == 0)
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda c: F.pmod(F.xxhash64("node", c), F.lit(SPREAD)) == 0)
         rows = split.where("large").select("node", "id", "weight").join(classes.select("id", "signature"), "id")
         rows = rows.withColumn("c", F.explode(chosen))
         nodes = rows.select("id", "weight", F.xxhash64("node", "c", F.get("signature", F.col("c"))).alias("node"))

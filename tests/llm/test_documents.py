@@ -153,6 +153,21 @@ def test_near_duplicates(docs, odd, empty):
     assert near.near_duplicates(empty).collect() == []
 
 
+def test_chosen_paths_reach_their_recall_in_large_nodes(spark):
+    """Pairs that agree in each function with the threshold's probability, all nodes large enough to branch at every level."""
+    r, rows, n = np.random.default_rng(5), [], 4000
+    for i in range(n):
+        a, b = r.integers(1, 1 << 62, (2, near.FUNCTIONS))
+        same = r.random(near.FUNCTIONS) < near.PERCENT / 100
+        b[same] = a[same]
+        rows += [(2 * i, 1, a.tolist()), (2 * i + 1, 1, b.tolist())]
+    classes = spark.createDataFrame(rows, "id long, weight long, signature array<long>").cache()
+    for levels in (1, 2, 3):
+        nodes = near.chosen_paths(classes, 0.9999, levels, max_ids=1, max_weight=1 << 40)
+        pairs = nodes.selectExpr("node", "id", "id div 2 as pair").distinct().groupBy("node", "pair").count().where("count = 2")
+        assert n - pairs.select("pair").distinct().count() <= 3
+
+
 def test_lines(docs, odd, empty):
     occurrences = [(d, i, re.sub(r"[\W_]+", " ", line.lower()).strip()) for d, t in enumerate(TEXTS) if t is not None for i, line in enumerate(t.split("\n"))]
     occurrences = [o for o in occurrences if len(o[2]) >= 30]
