@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import materialize
 from sluice.llm.language import UNKNOWN, predict, train
-from sluice.llm.lines import dedup_lines
+from sluice.llm.lines import WHOLE, dedup_lines
 from sluice.llm.near import near_duplicates
 from sluice.llm.packing import pack_documents
 from sluice.llm.suffixes import repeated_passages
@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of all texts; a document of which nothing is left goes."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, **WHOLE)
     left = out.where(F.col("lines_removed").isNull() | (F.trim("text") != "")).drop("lines_removed")
     return _with_length(left).select(*docs.columns)
 

@@ -7,7 +7,12 @@ SimHashes agree in all but three of some blocks of their bits (five, more for ve
 meet in one of the ways of choosing these blocks. Of each connected group of lines one occurrence stays: that of the smallest
 (doc_id, position); exact repeats are in one group from the start and are never expanded to pairs.
 
-Cases: lines whose normalised form has fewer than ``min_chars`` characters always stay; a null
+That is the narrow job. The whole one (``WHOLE``, which the query and the pipeline do) links by edit similarity alone:
+lines meet in the least hashes of their three-word shingles, lines of few words in those of five-character ones;
+and lines too short for it are still deduplicated exactly, those without letters or digits by their stripped text.
+
+Cases: lines whose normalised form has fewer than ``min_chars`` characters are not compared, and stay if it has
+fewer than ``exact_chars``; blank lines always stay; a null
 text stays null; rows without an id stay as they are; rows that share an id are taken as one document, so equal
 rows keep the same lines; a text all of whose lines go becomes empty; a line of any length is worked
 on whole; an empty table gives an empty result; all input columns are returned, and names that
@@ -26,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, components, materialize
-from .groups import bounded_nodes, compare_nodes, link_candidates
+from .groups import Links, bounded_nodes, compare_nodes, link_candidates
 
 RADIUS = 3
+WHOLE = {"by_edits": True}
+SHINGLES = 10  # least hashes of a line that are keys
+_GRAMS = 512  # columns in which pairs of characters are counted
 SIMILARITY = 0.75
 _WORD = re.compile(r"[^\W_]+")
 
@@ -108,6 +116,63 @@ def _linked(items: list[tuple[str, int]]):
     yield from link_candidates([list(range(len(items)))], len(items), similar)
 
 
+def _gram_counts(lines: list[str]) -> np.ndarray:
+    counts = np.zeros((len(lines), _GRAMS), np.uint16 if max(map(len, lines)) < 1 << 16 else np.int64)
+    for row, line in zip(counts, lines, strict=True):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        row += np.bincount((codes[1:] * np.uint32(31) + codes[:-1] * np.uint32(101)) % np.uint32(_GRAMS), minlength=_GRAMS).astype(row.dtype)
+    return counts
+
+
+def _edited(lines: list[str]):
+    """Pairs of lines at the edit similarity, enough to connect all that are.
+
+    An edit takes at most two pairs of neighbouring characters from a line, so lines that share fewer of them, as
+    counted by their hashes, or whose lengths are too far apart, need no comparison.
+    """
+    if len(lines) < 2:
+        return
+    counts, sizes, links = _gram_counts(lines), np.array([len(x) for x in lines]), Links(len(lines))
+    for x in range(len(lines) - 1):
+        longest = np.maximum(sizes[x + 1 :], sizes[x])
+        most = np.floor((1 - SIMILARITY) * longest)
+        rest = np.flatnonzero(np.abs(sizes[x + 1 :] - sizes[x]) <= most)
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            shared = np.minimum(counts[x + 1 + part], counts[x]).sum(axis=1, dtype=np.int64)
+            for y in (part[shared >= longest[part] - 1 - 2 * most[part]] + x + 1).tolist():
+                if links.find(x) != links.find(y) and similar_lines(lines[x], lines[y]):
+                    links.join(x, y)
+                    yield x, y
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least hashes of a line's runs of ``width`` hashed items; a shorter line is one run."""
+    last = max(1, len(h) - width + 1)
+    out = np.zeros(last, np.uint64)
+    for i in range(min(width, len(h))):
+        out = (out + h[i : i + last]) * np.uint64(0x9E3779B97F4A7C15 + 2 * width)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)[:SHINGLES]
+
+
+def shingle_keys(line: str) -> np.ndarray:
+    """The least hashes of a line's three-word shingles, and of five-character ones if its words are few."""
+    words, found = line.split(" "), []
+    if len(words) >= 6:
+        found.append(_least(np.fromiter((_WORDS[w] for w in words), np.uint64, len(words)), 3))
+    if len(words) <= 10:
+        found.append(_least(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 5))
+    return np.concatenate(found).view(np.int64)
+
+
+def _keyed(batches):
+    for b in batches:
+        keys = [shingle_keys(line) for line in b.column(1).to_pylist()]
+        ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(ids, pa.int64())], ["node", "id"])
+
+
 def _prepared(line: str) -> tuple[str, int]:
     return line, int(simhashes([line.split(" ")], _WORDS)[0])
 
@@ -166,6 +231,25 @@ def _close(batches):
         yield groups(*rest)
 
 
+def _shared(batches):
+    """Rows of sorted (node, id) whose node has others."""
+    rest = tuple(np.zeros(0, np.int64) for _ in range(2))
+
+    def groups(node, ids):
+        same = node[1:] == node[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return pa.RecordBatch.from_arrays([pa.array(node[keep], pa.int64()), pa.array(ids[keep], pa.int64())], ["node", "id"])
+
+    for b in batches:
+        now = tuple(np.concatenate([r, b.column(c).to_numpy()]) for c, r in enumerate(rest))
+        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last node may go on in the next batch
+        rest = tuple(c[cut:] for c in now)
+        if cut:
+            yield groups(*(c[:cut] for c in now))
+    if len(rest[0]):
+        yield groups(*rest)
+
+
 _STEP = 256  # documents whose words are held at a time
 
 
@@ -178,6 +262,8 @@ def _lines(batch, min_chars: int):
                 if len(raw) >= min_chars // 3:
                     words = words_of(raw)
                     line = " ".join(words)
+                    if not line and min_chars <= 1 and (bare := raw.strip()):
+                        line = "\0" + bare  # no letters or digits
                     if len(line) >= min_chars:
                         rows.append((xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63), doc_id, position, words, line))
         yield rows
@@ -218,23 +304,28 @@ def _occurrences(min_chars: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 30, max_ids: int = 2000, max_weight: int = 4_000_000) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 30, max_ids: int = 2000, max_weight: int = 4_000_000, exact_chars: int | None = None, by_edits: bool = False) -> DataFrame:
     """``doc_id, position`` of all line occurrences that another occurrence makes redundant."""
+    exact_chars = min_chars if exact_chars is None else exact_chars
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.mapInArrow(_distinct(min_chars), "id long, doc_id long, position int, n long, simhash long, line string").repartition(parts, "id")
+    found = docs.mapInArrow(_distinct(exact_chars), "id long, doc_id long, position int, n long, simhash long, line string").repartition(parts, "id")
     distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.sum("n").alias("n"), F.first("simhash").alias("simhash"), F.first("line").alias("line"))
     distinct = bucketed(distinct.withColumn("weight", F.length("line")), parts, "id", "lines")
-    keys = bucket_keys(block_cuts(distinct.count()))
-    buckets = distinct.select(F.explode(keys).alias("bucket"), "id", "simhash").repartition("bucket").sortWithinPartitions("bucket")
-    nodes = bounded_nodes(buckets.mapInArrow(_close, "node long, id long").join(distinct.select("id", "weight"), "id"), max_ids, max_weight)
-    links = compare_nodes(nodes, distinct.select("id", F.col("line").alias("content")), _prepared, _linked)
+    fuzzy = distinct.where((F.length("line") >= min_chars) & ~F.col("line").startswith("\0"))
+    if by_edits:
+        buckets = fuzzy.select("id", "line").mapInArrow(_keyed, "node long, id long").repartition("node").sortWithinPartitions("node")
+        members, prepare, link = buckets.mapInArrow(_shared, "node long, id long").join(distinct.select("id", "weight"), "id"), str, _edited
+    else:
+        buckets = fuzzy.select(F.explode(bucket_keys(block_cuts(fuzzy.count()))).alias("bucket"), "id", "simhash").repartition("bucket").sortWithinPartitions("bucket")
+        members, prepare, link = buckets.mapInArrow(_close, "node long, id long").join(distinct.select("id", "weight"), "id"), _prepared, _linked
+    links = compare_nodes(bounded_nodes(members, max_ids, max_weight), fuzzy.select("id", F.col("line").alias("content")), prepare, link)
     groups = components(links).withColumnRenamed("node", "id")
     named = distinct.select("id", "first", "n").join(groups, "id", "left").where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("component"), "first")
     named = materialize(named, "repeats")
     kept = named.groupBy("component").agg(F.min("first").alias("kept"))
     named = named.select("id", "component").join(kept, "component").select("id", "kept")
-    lines = docs.mapInArrow(_occurrences(min_chars), "id long, doc_id long, position int")
+    lines = docs.mapInArrow(_occurrences(exact_chars), "id long, doc_id long, position int")
     return lines.join(named, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("position") != F.col("kept.position"))).select("doc_id", "position").distinct()
 
 
@@ -249,6 +340,6 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), kept_sha256 (of the text that stays, in UTF-8) of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, **WHOLE)
     removed = F.coalesce(F.size("lines_removed"), F.lit(0))
     return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.when(F.col("lines_removed").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -189,6 +189,24 @@ def test_lines(docs, odd, empty):
     assert lines.dedup_lines(empty).collect() == []
 
 
+def test_edited_lines_are_removed(spark, tmp_path):
+    """The query, against edit similarity alone: lines with words replaced."""
+    r, rows, pairs = random.Random(12), [], 0
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    for i in range(600):
+        line = [r.choice(words) for _ in range(r.choice([8, 10, 20, 50]))]
+        other = list(line)
+        for at in r.sample(range(len(line)), r.randint(1, 1 + len(line) // 8)):
+            other[at] = r.choice(words)
+        if lines.similar_lines(" ".join(line), " ".join(other)) and min(len(" ".join(line)), len(" ".join(other))) >= 30:
+            pairs += 1
+            rows += [(2 * i, " ".join(line), *ROWS[0][2:]), (2 * i + 1, " ".join(other), *ROWS[0][2:])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(lines.op1_line_dedup(spark, str(tmp_path)))
+    assert all(found[d].n_removed == 0 for d in found if d % 2 == 0)
+    assert sum(found[d].n_removed for d in found) >= 0.98 * pairs
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
