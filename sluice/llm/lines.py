@@ -34,7 +34,7 @@ from .common import bucketed, components, materialize
 from .groups import Links, bounded_nodes, compare_nodes, link_candidates
 
 RADIUS = 3
-WHOLE = {"by_edits": True}
+WHOLE = {"exact_chars": 1, "by_edits": True}
 SHINGLES = 10  # least hashes of a line that are keys
 _GRAMS = 512  # columns in which pairs of characters are counted
 SIMILARITY = 0.75

@@ -207,6 +207,15 @@ def test_edited_lines_are_removed(spark, tmp_path):
     assert sum(found[d].n_removed for d in found) >= 0.98 * pairs
 
 
+def test_short_lines_are_removed_exactly(spark, tmp_path):
+    rows = [(1, "Menu\n\n---\nab\nx", *ROWS[0][2:]), (2, "menu!\n \n--- \nac\n***\n\n", *ROWS[0][2:])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(lines.op1_line_dedup(spark, str(tmp_path)))
+    kept = [" ", "ac", "***", "", ""]
+    assert (found[1].n_removed, found[2].n_removed) == (0, 2)
+    assert found[2].kept_sha256 == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
