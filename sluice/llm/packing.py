@@ -1,7 +1,8 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-Documents are encoded once. Each shard of documents builds BM25 inverted indexes over blocks of
-bounded size, with document frequencies and lengths of the whole corpus; the terms are token ids, so
+Documents are encoded once and dealt to shards by content: ordered by their two terms of most weight
+that other documents have too. A shard has about half of ``block_ids`` ids and one BM25 inverted index, and is
+cut into several only if it came out at ``block_ids`` or more, with document frequencies and lengths of the whole corpus; the terms are token ids, so
 these statistics are bounded by the vocabulary. A seed document opens a sequence and its unused
 neighbours, best first, fill the window; the document that reaches over the window's end is cut there,
 and its rest is the next seed. So all sequences of a shard are full but the last, which is cut into
@@ -230,7 +231,27 @@ class Packer:
 _PIECES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, block_docs: int = 2048, block_ids: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def dealt(tokens: DataFrame, shards: int, df: np.ndarray, idf, dtype) -> DataFrame:
+    """``doc_id, ids`` in shards of like documents, near copies next to each other."""
+    shared = tokens.sparkSession.sparkContext.broadcast(df > 1)
+
+    def run(batches):
+        for b in batches:
+            first, second = [], []
+            for data in b.column(1).to_pylist():
+                terms, tf = np.unique(np.frombuffer(data, dtype), return_counts=True)
+                weight = np.where(shared.value[terms], idf.value[terms] * tf / (tf + K1), -1.0)
+                best = np.argsort(-weight, kind="stable")[:2]
+                first.append(int(terms[best[0]]))
+                second.append(int(terms[best[-1]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["doc_id", "ids", "first", "second"])
+
+    keyed = tokens.where("kind = 0").select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, first long, second long")
+    keys = ["first", "second", "doc_id"]
+    return keyed.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+
+
+def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, block_docs: int | None = None, block_ids: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``sequence_id`` has the shard in its upper bits. with_ids adds the pieces' ids."""
     encoder = WordEncoder(tokenizer_file)
     dtype = encoder.dtype
@@ -265,7 +286,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, e
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block.append((doc_id, np.frombuffer(data, dtype)))
                 size += len(block[-1][1])
-                if len(block) >= block_docs or size >= block_ids:
+                if len(block) == block_docs or size >= block_ids:
                     for pieces in packer.block(block):
                         note(pieces)
                     block, size = [], 0
@@ -278,7 +299,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, e
         yield out()
 
     sql = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
-    return tokens.where("kind = 0").select("doc_id", "ids").mapInArrow(run, sql)
+    shards = max(1, -(-int(2 * n_docs * mean) // block_ids))
+    return dealt(tokens, shards, df, idf, dtype).mapInArrow(run, sql)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

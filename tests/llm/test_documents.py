@@ -281,6 +281,16 @@ def test_packing(docs, odd, empty):
     assert packing.pack_documents(empty, path).collect() == []
 
 
+def test_packing_deals_like_documents_to_one_shard(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(40 * copy + i, prose(60, 700 + i) + f" {copy}", *ROWS[0][2:]) for copy in range(3) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    shards, blocks = {}, 6000
+    for r in packing.pack_documents(docs, path, window=512, block_ids=blocks).collect():
+        shards.setdefault(r.doc_id % 40, {}).setdefault(r.sequence_id, set()).add(r.doc_id)
+    assert sum(any(len(ids) == 3 for ids in s.values()) or len(s) <= 3 for s in shards.values()) >= 32
+
+
 def test_packing_prefers_neighbours():
     docs = [(i, np.array([i % 3 * 100 + j for j in range(40)] + [2])) for i in range(30)]
     packer = packing.Packer(np.full(400, 2.0), 41.0, window=123)
