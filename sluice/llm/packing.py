@@ -30,7 +30,6 @@ from .common import materialize
 WINDOW = 4096
 END_ID = 2
 K1, B = 1.2, 0.75
-QUERY_TERMS = 64  # a seed's query has its terms of most weight
 
 
 _BELOW = [chr(c) for c in range(0x180)]
@@ -150,12 +149,8 @@ class Index:
 
     def ranked(self, ids: np.ndarray) -> np.ndarray:
         """All documents of the block, by falling score for a seed with these ids."""
-        terms, tf = np.unique(ids, return_counts=True)
-        if len(terms) > QUERY_TERMS:
-            best = np.argsort(-(self.idf[terms] * tf / (tf + K1)), kind="stable")[:QUERY_TERMS]
-            terms = terms[best]
         score = np.zeros(len(self.docs))
-        for t in terms.tolist():
+        for t in np.unique(ids).tolist():
             at = slice(self.first[t], self.first[t + 1])
             score[self.doc[at]] += self.weight[at]
         return np.argsort(-score, kind="stable")

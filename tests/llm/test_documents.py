@@ -291,6 +291,12 @@ def test_packing_deals_like_documents_to_one_shard(spark):
     assert sum(any(len(ids) == 3 for ids in s.values()) or len(s) <= 3 for s in shards.values()) >= 32
 
 
+def test_packing_scores_all_terms_of_a_seed():
+    seed, few, other = np.arange(300), np.arange(200, 240), np.arange(400, 440)
+    idf = np.concatenate([np.full(200, 3.0), np.full(300, 1.0)])
+    assert packing.Index([seed, other, few], idf, 120.0).ranked(seed).tolist() == [0, 2, 1]
+
+
 def test_packing_prefers_neighbours():
     docs = [(i, np.array([i % 3 * 100 + j for j in range(40)] + [2])) for i in range(30)]
     packer = packing.Packer(np.full(400, 2.0), 41.0, window=123)
