@@ -1,81 +1,110 @@
 """Fuzzy line deduplication over a corpus.
 
-Lines are normalised (lower case, runs of anything but letters and digits made one space) and
-get a 64-bit SimHash of their words. Two different lines are linked if their SimHashes differ in
-at most 3 bits and the edit similarity of their normalised forms is 0.75 or more. Any two such
-SimHashes agree in all but three of some blocks of their bits (five, more for very many lines), so lines
-meet in one of the ways of choosing these blocks. Of each connected group of lines one occurrence stays: that of the smallest
-(doc_id, position); exact repeats are in one group from the start and are never expanded to pairs.
-
-That is the narrow job. The whole one (``WHOLE``, which the query and the pipeline do) links by edit similarity alone:
-lines meet in the least hashes of their three-word shingles, lines of few words in those of five-character ones;
-and lines too short for it are still deduplicated exactly, those without letters or digits by their stripped text.
-
-Cases: lines whose normalised form has fewer than ``min_chars`` characters are not compared, and stay if it has
-fewer than ``exact_chars``; blank lines always stay; a null
-text stays null; rows without an id stay as they are; rows that share an id are taken as one document, so equal
-rows keep the same lines; a text all of whose lines go becomes empty; a line of any length is worked
-on whole; an empty table gives an empty result; all input columns are returned, and names that
-clash with working columns cannot occur because the work is done on id and text alone.
+Lines are normalised (lower case, runs of anything but letters and digits made one space), brought together by
+a 128-bit digest of that form, and get a 64-bit SimHash of their distinct words. Two different lines are linked if
+their SimHashes differ in at most RADIUS bits and the edit similarity of their normalised forms is 0.75 or more.
+Cut into blocks, two such SimHashes agree in all but RADIUS blocks, so lines meet by each choice of the other blocks.
+How many blocks there are and how many of them deal the lines to tasks follows the number of lines and
+changes no link. Of each connected group of lines one occurrence stays, that of the smallest (doc_id, row, position), where
+row is a hash of the text; repeats of one line are one line from the start and are never expanded to pairs.
+
+Between tasks travel packed stretches of lines and of SimHashes, not a row per line or key. An occurrence that is
+not the least of its line in its own stretch is redundant wherever the others are, so a frequent line leaves only one
+occurrence per stretch to compare.
+
+Cases: a line without letters and digits is only compared exactly, by its stripped text; blank lines always stay; a null
+text stays null; rows without an id stay as they are; rows that share an id but not the text are documents of their own;
+rows equal in both are one document and keep the same lines; a text all of whose lines go becomes empty; a line of any length is worked
+on whole; an empty table gives an empty result; all input columns are returned, and only an input column
+``lines_removed`` is replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, materialize
-from .groups import Links, bounded_nodes, compare_nodes, link_candidates
+from .common import components, materialize
+from .groups import Links, bounded_nodes, compare_nodes
 
-RADIUS = 3
-WHOLE = {"exact_chars": 1, "by_edits": True}
-SHINGLES = 10  # least hashes of a line that are keys
-_GRAMS = 512  # columns in which pairs of characters are counted
+RADIUS = 7
 SIMILARITY = 0.75
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words_of(line: str) -> list[str]:
-    """Words of a line's normalised form, which is these joined by single spaces."""
-    return _WORD.findall(line.lower())
-
-
-def simhashes(lines: list[list[str]], known: dict[str, int]) -> np.ndarray:
-    """Sign of the sum of the words' hashes, bit by bit, over each line's distinct words."""
-    sets = [set(words) for words in lines]
-    out, at = np.zeros(len(lines), np.uint64), 0
-    while at < len(sets):  # some hundred thousand words at a time
-        end, size = at, 0
-        while end < len(sets) and (end == at or size + len(sets[end]) <= 1 << 17):
-            size += len(sets[end])
-            end += 1
-        part = [s or {""} for s in sets[at:end]]
-        sizes = np.array([len(s) for s in part])
-        hashes = np.fromiter((known[w] for s in part for w in s), ">u8", int(sizes.sum()))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-        out[at:end] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").reshape(-1)
-        at = end
-    return out
+_HELD = 48 << 20  # bytes of distinct lines that a task combines before it sends them on
+_PART = 24 << 20  # bytes of text per task that merges lines
+_MEMBERS = 1 << 21  # SimHashes that share the blocks by which they are dealt, in the mean
+_UNIT = 64  # bytes of a line that are one of weight
+_GAP = re.compile(r"[^\w\n]+")
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 or c == 10 else 32 for c in range(256))
+
+
+def normalised(text: str) -> list[bytes]:
+    """The normalised form of each line of a text, in UTF-8; empty for blank lines, marked for those of signs only."""
+    if text.isascii():
+        found = [b" ".join(line.split()) for line in text.encode().translate(_ASCII).split(b"\n")]
+    else:
+        plain = _GAP.sub(" ", text.lower().replace("_", " "))
+        found = [line.strip(" ").encode("utf-8", "surrogatepass") for line in plain.split("\n")]
+    if not all(found):
+        for i, raw in enumerate(text.split("\n")):
+            if not found[i] and (bare := raw.strip()):
+                found[i] = b"\0" + bare.encode("utf-8", "surrogatepass")
+    return found
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
 _WORDS = _Words()
 
 
+def simhashes(lines: list[bytes]) -> np.ndarray:
+    """For each line, the bits that more than half of its distinct words' hashes have.
+
+    Words are added to all lines at once, as bits of counters that hold 64 sums side by side.
+    """
+    out, step = np.zeros(len(lines), np.uint64), 1 << 14
+    for start in range(0, len(lines), step):
+        words = [set(line.split(b" ")) for line in lines[start : start + step]]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        for at in range(0, len(order), 2048):
+            group = order[at : at + 2048]
+            n, base = sizes[group], first[group]
+            bits = int(n[0]).bit_length()
+            sums = np.zeros((bits, len(group)), np.uint64)
+            active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # lines of more than j words
+            for j, m in enumerate(active.tolist()):
+                carry = flat[base[:m] + j]
+                for k in range((j + 1).bit_length()):
+                    plane = sums[k, :m]
+                    over = plane & carry
+                    plane ^= carry
+                    carry = over
+            least = (n // 2 + 1).astype(np.uint64)
+            more, same = np.zeros(len(group), np.uint64), np.full(len(group), ~np.uint64(0))
+            for k in range(bits - 1, -1, -1):
+                wanted = np.uint64(0) - ((least >> np.uint64(k)) & np.uint64(1))
+                more |= same & sums[k] & ~wanted
+                same &= ~(sums[k] ^ wanted)
+            out[start + group] = more | same
+    return out
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, a column of the table at a time as bits of one integer (Myers; Hyyrö)."""
     while a and b and a[-1] == b[-1]:
@@ -104,242 +133,306 @@ def edit_distance(a: str, b: str) -> int:
 
 def similar_lines(a: str, b: str) -> bool:
     longest = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - SIMILARITY) * longest and edit_distance(a, b) <= (1 - SIMILARITY) * longest
+    most = (1 - SIMILARITY) * longest
+    if abs(len(a) - len(b)) > most:
+        return False
+    v, w = a.split(" "), b.split(" ")
+    # words exchanged one for one are a way to edit, so the distance is no longer than that
+    if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w, strict=True) if x != y) <= most:
+        return True
+    return edit_distance(a, b) <= most
 
 
 def _linked(items: list[tuple[str, int]]):
     """Pairs of lines close in both measures, enough to connect all that are."""
+    links, hashes = Links(len(items)), np.array([h for _, h in items], np.uint64)
+    for x in range(len(items) - 1):
+        for y in (np.flatnonzero(np.bitwise_count(hashes[x + 1 :] ^ hashes[x]) <= RADIUS) + x + 1).tolist():
+            if links.find(x) != links.find(y) and similar_lines(items[x][0], items[y][0]):
+                links.join(x, y)
+                yield x, y
 
-    def similar(x: int, y: int) -> bool:
-        return (items[x][1] ^ items[y][1]).bit_count() <= RADIUS and similar_lines(items[x][0], items[y][0])
 
-    yield from link_candidates([list(range(len(items)))], len(items), similar)
+def _prepared(content: bytes) -> tuple[str, int]:
+    return content[8:].decode("utf-8", "surrogatepass"), int.from_bytes(content[:8], "little")
 
 
-def _gram_counts(lines: list[str]) -> np.ndarray:
-    counts = np.zeros((len(lines), _GRAMS), np.uint16 if max(map(len, lines)) < 1 << 16 else np.int64)
-    for row, line in zip(counts, lines, strict=True):
-        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-        row += np.bincount((codes[1:] * np.uint32(31) + codes[:-1] * np.uint32(101)) % np.uint32(_GRAMS), minlength=_GRAMS).astype(row.dtype)
-    return counts
+# -- distinct lines --------------------------------------------------------------------------------------------
 
+_STRETCH = "part int, n int, heads binary, lines binary"
 
-def _edited(lines: list[str]):
-    """Pairs of lines at the edit similarity, enough to connect all that are.
 
-    An edit takes at most two pairs of neighbouring characters from a line, so lines that share fewer of them, as
-    counted by their hashes, or whose lengths are too far apart, need no comparison.
-    """
-    if len(lines) < 2:
-        return
-    counts, sizes, links = _gram_counts(lines), np.array([len(x) for x in lines]), Links(len(lines))
-    for x in range(len(lines) - 1):
-        longest = np.maximum(sizes[x + 1 :], sizes[x])
-        most = np.floor((1 - SIMILARITY) * longest)
-        rest = np.flatnonzero(np.abs(sizes[x + 1 :] - sizes[x]) <= most)
-        for i in range(0, len(rest), 1024):
-            part = rest[i : i + 1024]
-            shared = np.minimum(counts[x + 1 + part], counts[x]).sum(axis=1, dtype=np.int64)
-            for y in (part[shared >= longest[part] - 1 - 2 * most[part]] + x + 1).tolist():
-                if links.find(x) != links.find(y) and similar_lines(lines[x], lines[y]):
-                    links.join(x, y)
-                    yield x, y
-
-
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """The least hashes of a line's runs of ``width`` hashed items; a shorter line is one run."""
-    last = max(1, len(h) - width + 1)
-    out = np.zeros(last, np.uint64)
-    for i in range(min(width, len(h))):
-        out = (out + h[i : i + last]) * np.uint64(0x9E3779B97F4A7C15 + 2 * width)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)[:SHINGLES]
-
-
-def shingle_keys(line: str) -> np.ndarray:
-    """The least hashes of a line's three-word shingles, and of five-character ones if its words are few."""
-    words, found = line.split(" "), []
-    if len(words) >= 6:
-        found.append(_least(np.fromiter((_WORDS[w] for w in words), np.uint64, len(words)), 3))
-    if len(words) <= 10:
-        found.append(_least(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 5))
-    return np.concatenate(found).view(np.int64)
-
-
-def _keyed(batches):
-    for b in batches:
-        keys = [shingle_keys(line) for line in b.column(1).to_pylist()]
-        ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(ids, pa.int64())], ["node", "id"])
-
-
-def _prepared(line: str) -> tuple[str, int]:
-    return line, int(simhashes([line.split(" ")], _WORDS)[0])
-
-
-def block_cuts(n_lines: int) -> list[int]:
-    """Borders of the SimHash's blocks. More lines take more blocks, so that keys stay rare; the links are the same."""
-    blocks = next((b for b in (5, 6, 7, 8) if n_lines < 1 << int(64 * (b - RADIUS) / b) + 3), 9)
-    return [round(64 * i / blocks) for i in range(blocks + 1)]
-
-
-def bucket_keys(cuts: list[int]):
-    """Array of keys: for each way to choose all blocks but RADIUS, its number and the chosen bits."""
-    keys = []
-    for number, chosen in enumerate(combinations(range(len(cuts) - 1), len(cuts) - 1 - RADIUS)):
-        key = F.lit(number).cast("long")
-        for b in chosen:
-            width = cuts[b + 1] - cuts[b]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("simhash", cuts[b]).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _close(batches):
-    """Ids of each bucket that have another within the radius, under a node of their own for each set connected so."""
-    rest = tuple(np.zeros(0, np.int64) for _ in range(3))
-
-    def groups(bucket, ids, hashes):
-        nodes, members = [], []
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        size = np.diff(np.append(first, len(bucket)))
-        for start, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            values, inverse = np.unique(hashes[start : start + n].view(np.uint64), return_inverse=True)
-            label = np.arange(len(values))
-            for i in range(len(values) - 1):  # a row of the distance table at a time
-                near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= RADIUS) + i + 1
-                if len(near):
-                    joined = np.unique(np.append(label[near], label[i]))
-                    label[np.isin(label, joined)] = joined[0]
-            label = label[inverse]
-            many = np.bincount(label)[label] > 1
-            if many.any():
-                node = {of: xxhash.xxh64_intdigest(f"{bucket[start]} {of}") - (1 << 63) for of in np.unique(label[many]).tolist()}
-                nodes += [node[of] for of in label[many].tolist()]
-                members.append(ids[start : start + n][many])
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(members) if members else [], pa.int64())], ["node", "id"])
-
-    for b in batches:
-        now = tuple(np.concatenate([r, b.column(c).to_numpy()]) for c, r in enumerate(rest))
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-        rest = tuple(c[cut:] for c in now)
-        if cut:
-            yield groups(*(c[:cut] for c in now))
-    if len(rest[0]):
-        yield groups(*rest)
-
-
-def _shared(batches):
-    """Rows of sorted (node, id) whose node has others."""
-    rest = tuple(np.zeros(0, np.int64) for _ in range(2))
-
-    def groups(node, ids):
-        same = node[1:] == node[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pa.RecordBatch.from_arrays([pa.array(node[keep], pa.int64()), pa.array(ids[keep], pa.int64())], ["node", "id"])
-
-    for b in batches:
-        now = tuple(np.concatenate([r, b.column(c).to_numpy()]) for c, r in enumerate(rest))
-        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last node may go on in the next batch
-        rest = tuple(c[cut:] for c in now)
-        if cut:
-            yield groups(*(c[:cut] for c in now))
-    if len(rest[0]):
-        yield groups(*rest)
+def _combined(parts: int):
+    """Packed stretches of distinct lines with their least occurrence, and of all other occurrences."""
 
+    def packed(first: dict, spare: list):
+        rows = []
+        if first:
+            pack = zstandard.ZstdCompressor(level=1)
+            digests = np.frombuffer(b"".join(first), np.uint64).reshape(-1, 2)
+            at, lines = zip(*first.values(), strict=True)
+            at = np.array(at, np.int64)
+            part = (digests[:, 0] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                some = order[edges[p] : edges[p + 1]]
+                rows.append((p, len(some), digests[some].tobytes() + at[some].tobytes(), pack.compress(b"\n".join([lines[i] for i in some.tolist()]))))
+        if spare:
+            rows.append((xxhash.xxh32_intdigest(repr(spare[0])) % parts, len(spare), np.array(spare, np.int64).tobytes(), None))
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "n", "heads", "lines"])
 
-_STEP = 256  # documents whose words are held at a time
-
+    def run(batches):
+        first, spare, held = {}, [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                for doc_id, row, text in zip(*(batch.column(c).slice(start, 256).to_pylist() for c in range(3)), strict=True):
+                    for position, line in enumerate(normalised(text) if text else ()):
+                        if not line:
+                            continue
+                        key, at = xxhash.xxh3_128_digest(line), (doc_id, row, position)
+                        held += 100
+                        if (known := first.get(key)) is None:
+                            first[key] = (at, line)
+                            held += len(line)
+                        elif at < known[0]:
+                            spare.append(known[0])
+                            first[key] = (at, line)
+                        elif at > known[0]:
+                            spare.append(at)
+                if held > _HELD:
+                    yield packed(first, spare)
+                    first, spare, held = {}, [], 0
+        yield packed(first, spare)
 
-def _lines(batch, min_chars: int):
-    """(id, doc_id, position, words, line) of each line long enough, a list for some documents at a time."""
-    for start in range(0, batch.num_rows, _STEP):
-        part, rows = batch.slice(start, _STEP), []
-        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            for position, raw in enumerate((text or "").split("\n")):
-                if len(raw) >= min_chars // 3:
-                    words = words_of(raw)
-                    line = " ".join(words)
-                    if not line and min_chars <= 1 and (bare := raw.strip()):
-                        line = "\0" + bare  # no letters or digits
-                    if len(line) >= min_chars:
-                        rows.append((xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63), doc_id, position, words, line))
-        yield rows
+    return run
 
 
-def _distinct(min_chars: int):
-    """Distinct lines of each batch with their first occurrence, number and SimHash: combined before any shuffle."""
+_LINE = {"id": pa.int64(), "doc_id": pa.int64(), "row": pa.int64(), "position": pa.int32(), "simhash": pa.int64(), "content": pa.binary()}
+
+
+def _merged(batches):
+    """A row per distinct line with a number of its own; rows without one are redundant occurrences."""
+    from pyspark import TaskContext
+
+    digests, at, lines, spare = [], [], [], []
+    for batch in batches:
+        for n, heads, packed in zip(*(batch.column(c).to_pylist() for c in ("n", "heads", "lines")), strict=True):
+            if packed is None:
+                spare.append(np.frombuffer(heads, np.int64).reshape(n, 3))
+            else:
+                digests.append(np.frombuffer(heads, np.uint64, 2 * n).reshape(n, 2))
+                at.append(np.frombuffer(heads, np.int64, 3 * n, 16 * n).reshape(n, 3))
+                lines += zstandard.decompress(packed).split(b"\n")
+    step = 20_000
+    if digests:
+        d, o = np.concatenate(digests), np.concatenate(at)
+        order = np.lexsort((o[:, 2], o[:, 1], o[:, 0], d[:, 1], d[:, 0]))
+        d, o = d[order], o[order]
+        new = np.append(True, (d[1:] != d[:-1]).any(axis=1))
+        least = np.flatnonzero(new)
+        others = ~new & (o != o[least[np.cumsum(new) - 1]]).any(axis=1)
+        spare.append(o[others])
+        number = TaskContext.get().partitionId() << 36
+        for i in range(0, len(least), step):
+            some = least[i : i + step]
+            texts = [lines[k] for k in order[some].tolist()]
+            hashes = simhashes(texts)
+            columns = [
+                pa.array(np.arange(number + i, number + i + len(some)), pa.int64()), *(pa.array(o[some, c], pa.int64()) for c in (0, 1)), pa.array(o[some, 2].astype(np.int32)),
+                pa.array(hashes.view(np.int64), pa.int64(), mask=np.array([t.startswith(b"\0") for t in texts])),
+                pa.array([h.tobytes() + t for h, t in zip(hashes, texts, strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, list(_LINE))
+    for o in spare:
+        for i in range(0, len(o), step):
+            some = o[i : i + step]
+            none = [pa.nulls(len(some), _LINE[c]) for c in ("id", "simhash", "content")]
+            columns = [none[0], *(pa.array(some[:, c], pa.int64()) for c in (0, 1)), pa.array(some[:, 2].astype(np.int32)), *none[1:]]
+            yield pa.RecordBatch.from_arrays(columns, list(_LINE))
+
+
+# -- lines whose SimHashes are close ---------------------------------------------------------------------------
+
+
+def block_masks(blocks: int) -> list[int]:
+    """Bits of each of so many blocks of a SimHash."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def layout(n_lines: int) -> tuple[int, int]:
+    """Blocks, and how many of them deal the lines to tasks."""
+    blocks = next((b for b in range(RADIUS + 3, RADIUS + 6) if n_lines < 1 << 64 * (b - RADIUS) // b + 5), RADIUS + 6)
+    width = 64 / blocks
+    dealing = max(1, math.ceil(math.log2(max(1, n_lines / _MEMBERS)) / width))
+    return blocks, min(dealing, blocks - RADIUS)
+
+
+def choices(blocks: int, dealing: int) -> list[tuple[int, list[int]]]:
+    """Masks by which lines are dealt, each with the masks of all the choices of blocks that begin with it."""
+    masks, found = block_masks(blocks), {}
+    for chosen in combinations(masks, blocks - RADIUS):
+        found.setdefault(sum(chosen[:dealing]), []).append(sum(chosen))
+    return list(found.items())
+
+
+_MEMBER = np.dtype([("simhash", "<u8"), ("id", "<i8"), ("weight", "<u2")])
+
+
+def _dealt(dealing: list[int]):
+    """Packed SimHashes of the lines that agree in the blocks of a dealing mask."""
 
     def run(batches):
+        held = []
         for b in batches:
-            seen: dict[int, list] = {}
-            for rows in _lines(b, min_chars):
-                new = {}
-                for i, doc_id, position, words, line in rows:
-                    if i in seen:
-                        s = seen[i]
-                        s[0], s[1] = min(s[0], (doc_id, position)), s[1] + 1
-                    else:
-                        seen[i] = [(doc_id, position), 1, 0, line]
-                        new[i] = words
-                for i, h in zip(new, simhashes(list(new.values()), _WORDS).view(np.int64).tolist(), strict=True):
-                    seen[i][2] = h
-            values = list(seen.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.int64()), pa.array([v[0][0] for v in values], pa.int64()), pa.array([v[0][1] for v in values], pa.int32()), *(pa.array([v[k] for v in values], pa.int64()) for k in (1, 2)), pa.array([v[3] for v in values], pa.string())],
-                ["id", "doc_id", "position", "n", "simhash", "line"],
-            )
+            rows = np.empty(b.num_rows, _MEMBER)
+            rows["id"], rows["simhash"] = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            rows["weight"] = np.minimum(b.column(2).to_numpy() // _UNIT + 1, 65_535)
+            held.append(rows)
+            if sum(map(len, held)) >= 1 << 20:
+                yield packed(np.concatenate(held))
+                held = []
+        if held:
+            yield packed(np.concatenate(held))
+
+    def packed(rows):
+        parts, data = [], []
+        for number, mask in enumerate(dealing):
+            key = rows["simhash"] & np.uint64(mask)
+            order = np.argsort(key, kind="stable")
+            sorted_rows, key = rows[order], key[order]
+            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                parts.append(xxhash.xxh64_intdigest(key[a].tobytes(), number) - (1 << 63))
+                data.append(sorted_rows[a:z].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["part", "members"])
 
     return run
 
 
-def _occurrences(min_chars: int):
+def connected(hashes: np.ndarray, masks: list[int]) -> np.ndarray:
+    """A label for each of some different SimHashes, equal for those connected by pairs within the radius that agree in a mask."""
+    label = np.arange(len(hashes))
+
+    def join(a, b):
+        nonlocal label
+        while True:
+            x, y = label[a], label[b]
+            if (x == y).all():
+                return
+            root = np.arange(len(label))
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+
+    for mask in masks:
+        key = hashes & np.uint64(mask)
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        inside = np.append(False, same) | np.append(same, False)
+        order, key = order[inside], key[inside]
+        at, gap, found = np.arange(len(key)), 0, []
+        while len(at):
+            gap += 1
+            at = at[at + gap < len(key)]
+            at = at[key[at] == key[at + gap]]
+            a, b = order[at], order[at + gap]
+            hit = (label[a] != label[b]) & (np.bitwise_count(hashes[a] ^ hashes[b]) <= RADIUS)
+            if hit.any():
+                found.append((a[hit], b[hit]))
+            if found and gap % 16 == 0:
+                join(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                found = []
+            if gap % 16 == 0 and len(at):  # keys whose hashes are all connected need no more
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                now = label[order]
+                done = np.minimum.reduceat(now, first) == np.maximum.reduceat(now, first)
+                at = at[~done[np.searchsorted(first, at, side="right") - 1]]
+        if found:
+            join(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    return label
+
+
+def _close(masks_of: list[tuple[int, list[int]]]):
+    """``node, id, weight``: lines that are connected by SimHashes within the radius."""
+
+    def groups(part: int, rows):
+        hashes, inverse = np.unique(rows["simhash"], return_inverse=True)
+        number = next(k for k, (mask, _) in enumerate(masks_of) if xxhash.xxh64_intdigest((hashes[0] & np.uint64(mask)).tobytes(), k) - (1 << 63) == part)
+        label = connected(hashes, masks_of[number][1])[inverse]
+        many = np.bincount(label)[label] > 1
+        node = {of: xxhash.xxh64_intdigest(f"{part} {of}") - (1 << 63) for of in np.unique(label[many]).tolist()}
+        return [node[of] for of in label[many].tolist()], rows["id"][many], rows["weight"][many].astype(np.int64) * _UNIT
+
     def run(batches):
+        held: dict[int, list] = {}
         for b in batches:
-            for rows in _lines(b, min_chars):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["id", "doc_id", "position"])
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(data, _MEMBER))
+        while held:
+            part, found = held.popitem()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in groups(part, np.concatenate(found))], ["node", "id", "weight"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 30, max_ids: int = 2000, max_weight: int = 4_000_000, exact_chars: int | None = None, by_edits: bool = False) -> DataFrame:
-    """``doc_id, position`` of all line occurrences that another occurrence makes redundant."""
-    exact_chars = min_chars if exact_chars is None else exact_chars
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.mapInArrow(_distinct(exact_chars), "id long, doc_id long, position int, n long, simhash long, line string").repartition(parts, "id")
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.sum("n").alias("n"), F.first("simhash").alias("simhash"), F.first("line").alias("line"))
-    distinct = bucketed(distinct.withColumn("weight", F.length("line")), parts, "id", "lines")
-    fuzzy = distinct.where((F.length("line") >= min_chars) & ~F.col("line").startswith("\0"))
-    if by_edits:
-        buckets = fuzzy.select("id", "line").mapInArrow(_keyed, "node long, id long").repartition("node").sortWithinPartitions("node")
-        members, prepare, link = buckets.mapInArrow(_shared, "node long, id long").join(distinct.select("id", "weight"), "id"), str, _edited
-    else:
-        buckets = fuzzy.select(F.explode(bucket_keys(block_cuts(fuzzy.count()))).alias("bucket"), "id", "simhash").repartition("bucket").sortWithinPartitions("bucket")
-        members, prepare, link = buckets.mapInArrow(_close, "node long, id long").join(distinct.select("id", "weight"), "id"), _prepared, _linked
-    links = compare_nodes(bounded_nodes(members, max_ids, max_weight), fuzzy.select("id", F.col("line").alias("content")), prepare, link)
-    groups = components(links).withColumnRenamed("node", "id")
-    named = distinct.select("id", "first", "n").join(groups, "id", "left").where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("component"), "first")
-    named = materialize(named, "repeats")
+def near_lines(lines: DataFrame, n_lines: int, parts: int) -> DataFrame:
+    """``node, id, weight`` groups in which any two lines within the radius meet; ``lines``: id, simhash, content."""
+    masks_of = choices(*layout(n_lines))
+    parts = max(parts, -(-n_lines * len(masks_of) * _MEMBER.itemsize // _PART))
+    sent = lines.select("id", "simhash", F.octet_length("content").cast("long").alias("weight"))
+    dealt = sent.mapInArrow(_dealt([mask for mask, _ in masks_of]), "part long, members binary").repartition(parts, "part")
+    return dealt.mapInArrow(_close(masks_of), "node long, id long, weight long")
+
+
+# -- the operator ----------------------------------------------------------------------------------------------
+
+
+def repeated_lines(docs: DataFrame, max_ids: int = 2000, max_weight: int = 4_000_000) -> DataFrame:
+    """``doc_id, row, position`` of all line occurrences that another occurrence makes redundant; row is xxhash64(text)."""
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _PART))
+    schema = "id long, doc_id long, row long, position int, simhash long, content binary"
+    found = materialize(docs.mapInArrow(_combined(parts), _STRETCH).repartition(parts, "part").mapInArrow(_merged, schema), "lines")
+    lines = found.where("simhash is not null")
+    members = near_lines(lines, lines.count(), parts)
+    links = compare_nodes(bounded_nodes(members, max_ids, max_weight), lines.select("id", "content"), _prepared, _linked)
+    groups = components(links)
+    first = F.struct("doc_id", "row", "position").alias("first")
+    named = materialize(lines.select(F.col("id").alias("node"), first).join(groups, "node").select("component", "first"), "repeats")
     kept = named.groupBy("component").agg(F.min("first").alias("kept"))
-    named = named.select("id", "component").join(kept, "component").select("id", "kept")
-    lines = docs.mapInArrow(_occurrences(exact_chars), "id long, doc_id long, position int")
-    return lines.join(named, "id").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("position") != F.col("kept.position"))).select("doc_id", "position").distinct()
+    linked = named.join(kept, "component").where("first <> kept").select("first.*")
+    return found.where("id is null").select("doc_id", "row", "position").unionByName(linked)
+
+
+def _flags(batches):
+    """Sorted positions, and for each line up to the last of them whether it is one."""
+    for b in batches:
+        positions = [np.sort(np.array(p, np.int32)) for p in b.column(2).to_pylist()]
+        flags = [np.bincount(p).astype(bool) for p in positions]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(positions, pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.bool_()))], ["doc_id", "row", "lines_removed", "flags"])
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``lines_removed`` (positions, null for none)."""
-    gone = repeated_lines(docs.select("doc_id", "text"), **options).groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("lines_removed"))
-    out = docs.join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("lines_removed", i))
-    return out.withColumn("text", F.when(F.col("lines_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, "lines_removed")
+    gone = repeated_lines(docs.select("doc_id", "text"), **options).groupBy("doc_id", "row").agg(F.collect_set("position").alias("positions"))
+    gone = gone.mapInArrow(_flags, "doc_id long, row long, lines_removed array<int>, flags array<boolean>").alias("g")
+    d = docs.alias("d")
+    out = d.join(gone, (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.row")), "left")
+    kept = F.zip_with(F.split("d.text", "\n"), "g.flags", lambda line, flag: F.when(F.coalesce(flag, F.lit(False)), None).otherwise(line))
+    text = F.when(F.col("g.flags").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    return out.select(*(text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c != "lines_removed"), "g.lines_removed")
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), kept_sha256 (of the text that stays, in UTF-8) of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    out = dedup_lines(docs, **WHOLE)
-    removed = F.coalesce(F.size("lines_removed"), F.lit(0))
-    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.when(F.col("lines_removed").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = dedup_lines(docs)
+    removed = F.when(F.col("lines_removed").isNull(), 0).otherwise(F.size("lines_removed"))
+    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), removed.cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
