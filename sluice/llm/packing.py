@@ -15,13 +15,16 @@ empty result; only doc_id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +43,77 @@ _LATIN = re.compile(f"[{_LETTER}{_DIGIT}{_MARK}]+")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_LETTER}{_DIGIT}]+")
 
 
+#: Bytes of UTF-8 that spell letters up to U+00FF, either case, and the same in lower case. A stretch of these alone has no
+#: other lead byte than C3, so each byte tells its own case.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7))]] = True
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[[*range(0x41, 0x5B), *(c for c in range(0x80, 0x9F) if c != 0x97)]] += 0x20
+
+
+class Merges:
+    """Byte-pair merges of many words at once: of each word the pair of least rank, the leftmost if it occurs twice, again and again."""
+
+    LONGEST = 40  # bytes of a word; longer ones go to the library
+
+    def __init__(self, model: dict):
+        vocabulary, self.width = model["vocab"], len(model["vocab"])
+        # the public byte alphabet: printable Latin-1 characters stand for their own bytes, the other bytes for U+0100 onwards
+        own = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or 0xAE <= c]
+        others = [c for c in range(256) if c not in own]
+        sign = {c: chr(c) for c in own} | {c: chr(256 + i) for i, c in enumerate(others)}
+        end = model["end_of_word_suffix"]
+        self.inner = np.array([vocabulary[sign[c]] for c in range(256)], np.uint64)
+        self.last = np.array([vocabulary[sign[c] + end] for c in range(256)], np.uint64)
+        pairs = [(vocabulary[x], vocabulary[y], vocabulary[x + y]) for x, y in model["merges"]]
+        left, right, merged = (np.array(c, np.uint64) for c in zip(*pairs, strict=True))
+        key = left * np.uint64(self.width) + right
+        order = np.argsort(key)
+        self.key, self.rank, self.merged = np.append(key[order], ~np.uint64(0)), np.append(order, len(order)), merged
+        self.none = len(order)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * np.uint64(self.width) + right
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.rank[at], self.none)
+
+    def encode(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as stretches of bytes, one after another in no order, and (word, size) of each in that order."""
+        ids, names = [], []
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            letters = raw[first[rows][:, None] + np.arange(n)]
+            symbols = self.inner[letters]
+            symbols[:, -1] = self.last[letters[:, -1]]
+            ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
+            while len(rows):
+                n = symbols.shape[1]
+                at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
+                least = ranks[np.arange(len(rows)), at] if n > 1 else np.full(len(rows), self.none)
+                done = least == self.none
+                ids.append(symbols[done].ravel())
+                names.append(np.stack([rows[done], np.full(done.sum(), n)]))
+                rows, symbols, ranks, at, least = rows[~done], symbols[~done], ranks[~done], at[~done], least[~done]
+                if not len(rows):
+                    break
+                each = np.arange(len(rows))
+                symbols[each, at] = self.merged[least]
+                stay = np.arange(n - 1)
+                symbols = np.take_along_axis(symbols, stay + (stay > at[:, None]), 1)
+                stay = stay[:-1]
+                ranks = np.take_along_axis(ranks, stay + (stay >= at[:, None]), 1)
+                for change in (at - 1, at):  # the pairs that the merged symbol is in now
+                    some = np.flatnonzero((change >= 0) & (change < n - 2))
+                    c = change[some]
+                    ranks[some, c] = self._ranks(symbols[some, c], symbols[some, c + 1])
+        return np.concatenate(ids), np.concatenate(names, axis=1)
+
+
 class WordEncoder:
     """Ids of a text, put together from those of its stretches between ASCII white space.
 
     The tokenizer's pattern never reaches over white space and its normalisation composes nothing with it, so
-    stretches are independent. Their ids are remembered, up to a bounded number.
+    stretches are independent. Each different one is encoded once; a bounded number of them is remembered.
     """
 
     def __init__(self, tokenizer_file: str, remember: int = 1_200_000):
@@ -53,28 +122,67 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.remember, self.known, self.parts = remember, {}, {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 16- or 32-bit ids of each text, as ``dtype`` says."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > self.remember:  # only a memory of work done
-            known.clear()
-            new = {w for words in split for w in words}
-        if len(self.parts) > self.remember // 2:
-            self.parts.clear()
-        divided = {w: self._divide(w.decode("utf-8", "surrogatepass")) for w in new}
+        self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
+        self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each stretch and of each piece; the numbers' ids lie one after another.
+        self.known, self.parts = {"": 0}, {}  # parts: ids of pieces
+        self.ids, self.start, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), [0, 1]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin and end. A null text has none."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        if (numbers < 0).any():
+            if len(self.known) + len(names) > self.remember:  # only a memory of work done
+                self._forget()
+                numbers[:] = [self.known.get(w, -1) for w in names]
+            new = np.flatnonzero(numbers < 0)
+            numbers[new] = self._learn(words.dictionary.take(pa.array(new)))
+        each = numbers[words.indices.to_numpy()]
+        sizes = self.size[each]
+        ends = np.append(0, np.cumsum(sizes))
+        at = np.repeat(self.start[each] - ends[:-1], sizes) + np.arange(ends[-1])
+        offsets = split.offsets.to_numpy()
+        return self.ids[at], ends[offsets - offsets[0]]
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Numbers of new stretches."""
+        _, offsets, data = words.buffers()
+        first = np.frombuffer(offsets, np.int64, len(words) + 1)
+        raw, size = np.frombuffer(data, np.uint8, int(first[-1])), np.diff(first)
+        plain = np.logical_and.reduceat(_LETTERS[raw], first[:-1]) & (size <= Merges.LONGEST)
+        numbers, names = np.zeros(len(words), np.int64), words.to_pylist()
+        if plain.any():
+            ids, (which, sizes) = self.merges.encode(_LOWERED[raw], first[:-1][plain], size[plain])
+            numbers[np.flatnonzero(plain)[which]] = self._add(ids, sizes)
+        others = np.flatnonzero(~plain).tolist()
+        several = [self._divide(names[i]) for i in others]
         parts = self.parts
-        need = list({p for ps in divided.values() for p in ps if p not in parts})
+        need = list({p for ps in several for p in ps if p not in parts})
         for i in range(0, len(need), 20_000):
             some = need[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                parts[p] = np.array(e.ids, self.dtype).tobytes()
-        for w, ps in divided.items():
-            known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        return [b"".join([known[w] for w in words]) for words in split]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            parts.update(zip(some, found, strict=True))
+        found = [parts[ps[0]] if len(ps) == 1 else list(chain.from_iterable([parts[p] for p in ps])) for ps in several]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        numbers[others] = self._add(np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes)
+        self.known.update(zip(names, numbers.tolist(), strict=True))
+        return numbers
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        end, n = self.used[0] + len(ids), self.used[1] + len(sizes)
+        self.ids, self.start, self.size = _grown(self.ids, end), _grown(self.start, n), _grown(self.size, n)
+        self.ids[self.used[0] : end] = ids
+        self.start[self.used[1] : n] = self.used[0] + np.cumsum(sizes) - sizes
+        self.size[self.used[1] : n] = sizes
+        added = np.arange(self.used[1], n)
+        self.used = [end, n]
+        return added
 
     @staticmethod
     def _divide(stretch: str) -> list[str]:
@@ -88,27 +196,55 @@ class WordEncoder:
         return np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
-_STEP = 512  # texts encoded at a time
+_STEP = 8 << 20  # bytes of text encoded at a time, beside one text
 _TOKENS = {"doc_id": pa.int64(), "kind": pa.int32(), "ids": pa.binary()}
 
 
+def _steps(texts: pa.Array) -> list[int]:
+    """Borders of runs of texts of about ``_STEP`` bytes."""
+    if not len(texts):
+        return [0]
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.searchsorted(sizes, np.arange(_STEP, int(sizes[-1]), _STEP)) + 1
+    return sorted({0, *cuts.tolist(), len(texts)})
+
+
+def counted(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of documents' ids that lie one after another; ``ends`` has their borders."""
+    n = len(ends) - 1
+    kind = np.uint32 if n * vocabulary < 1 << 32 else np.uint64
+    key = np.repeat(np.arange(n, dtype=kind) * kind(vocabulary), np.diff(ends)) + ids
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key)))
+    return (key[first] // kind(vocabulary)).astype(np.int64), (key[first] % kind(vocabulary)).astype(np.int64), times
+
+
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """Rows of kind 0: ``doc_id`` and its packed ids with the end id; kind 1: document frequencies of some of them."""
 
     def run(batches):
         encoder = _ENCODERS.get(tokenizer_file) or _ENCODERS.setdefault(tokenizer_file, WordEncoder(tokenizer_file))
         df = np.zeros(encoder.vocabulary, np.int64)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        seen = False
+        seen, width = False, encoder.dtype.itemsize
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), _STEP):
-                packed = [p + end for p in encoder.encode(texts[i : i + _STEP])]
-                for p in packed:
-                    df[np.unique(np.frombuffer(p, encoder.dtype))] += 1
+            borders = _steps(batch.column(1))
+            for a, z in zip(borders, borders[1:], strict=False):
+                plain, ends = encoder.encode(batch.column(1).slice(a, z - a))
+                ends = ends + np.arange(z - a + 1)
+                ids = np.empty(int(ends[-1]), encoder.dtype)
+                last = np.zeros(len(ids), bool)
+                last[ends[1:] - 1] = True
+                ids[last], ids[~last] = end_id, plain
+                df += np.bincount(counted(ids, ends, encoder.vocabulary)[1], minlength=encoder.vocabulary)
                 seen = True
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + _STEP], pa.int64()), pa.array([0] * len(packed), pa.int32()), pa.array(packed, pa.binary())], list(_TOKENS))
+                data = pa.Array.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer((ends * width).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).cast(pa.int64()), pa.array(np.zeros(z - a, np.int32)), data.cast(pa.binary())], list(_TOKENS))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([1], pa.int32()), pa.array([df.tobytes()], pa.binary())], list(_TOKENS))
 
@@ -135,25 +271,37 @@ def frequencies(tokens: DataFrame, vocabulary: int, width: int) -> tuple[np.ndar
 
 
 class Index:
-    """BM25 inverted index over a block of documents."""
+    """BM25 inverted index over a block of documents. Terms that many of them have also lie as rows of a table."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.docs, self.idf = docs, idf
-        sizes = np.array([len(d) for d in docs], np.int64)
-        pair = np.repeat(np.arange(len(docs)), sizes) + np.concatenate(docs).astype(np.int64) * len(docs)
-        pair, tf = np.unique(pair, return_counts=True)
-        term, self.doc = pair // len(docs), pair % len(docs)
-        self.first = np.searchsorted(term, np.arange(len(idf) + 1))
+        n, sizes = len(docs), np.array([len(d) for d in docs], np.int64)
+        doc, term, tf = counted(np.concatenate(docs), np.append(0, np.cumsum(sizes)), len(idf))
         norm = K1 * (1 - B + B * sizes / mean)
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-
-    def ranked(self, ids: np.ndarray) -> np.ndarray:
-        """All documents of the block, by falling score for a seed with these ids."""
-        score = np.zeros(len(self.docs))
-        for t in np.unique(ids).tolist():
-            at = slice(self.first[t], self.first[t + 1])
-            score[self.doc[at]] += self.weight[at]
-        return np.argsort(-score, kind="stable")
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.n, self.terms, self.border = n, term, np.searchsorted(doc, np.arange(n + 1))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        df = np.diff(self.first)
+        common = np.flatnonzero(df > max(16, n // 8))
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), n), np.float32)
+        at = self.row[term] >= 0
+        self.table[self.row[term[at]], doc[at]] = weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The score of each document of the block for all terms of this one."""
+        terms = self.terms[self.border[seed] : self.border[seed + 1]]
+        row = self.row[terms]
+        score = self.table[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        rare = terms[row < 0]
+        size = self.first[rare + 1] - self.first[rare]
+        end = np.cumsum(size)
+        if len(end) and end[-1]:
+            at = np.repeat(self.first[rare] - end + size, size) + np.arange(end[-1])
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
+        return score
 
 
 class Packer:
@@ -189,9 +337,8 @@ class Packer:
             current = seed
             while opened:  # the sequence that the seed lies in last still has room
                 last = None
-                for near in index.ranked(docs[current][1]).tolist():
-                    if used[near]:
-                        continue
+                left = np.flatnonzero(~used)
+                for near in left[np.argsort(-index.scores(current)[left], kind="stable")].tolist():
                     used[near] = True
                     before = self.room
                     yield from self._fill(docs[near])
@@ -232,14 +379,20 @@ def dealt(tokens: DataFrame, shards: int, df: np.ndarray, idf, dtype) -> DataFra
 
     def run(batches):
         for b in batches:
-            first, second = [], []
-            for data in b.column(1).to_pylist():
-                terms, tf = np.unique(np.frombuffer(data, dtype), return_counts=True)
-                weight = np.where(shared.value[terms], idf.value[terms] * tf / (tf + K1), -1.0)
-                best = np.argsort(-weight, kind="stable")[:2]
-                first.append(int(terms[best[0]]))
-                second.append(int(terms[best[-1]]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["doc_id", "ids", "first", "second"])
+            packed = b.column(1).cast(pa.large_binary())
+            _, offsets, data = packed.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(packed) + 1, 8 * packed.offset) // dtype.itemsize
+            ids = np.frombuffer(data, dtype)[ends[0] : ends[-1]] if len(packed) else np.zeros(0, dtype)
+            doc, terms, tf = counted(ids, ends - ends[0], len(idf.value))
+            weight = np.where(shared.value[terms], idf.value[terms] * tf / (tf + K1), -1.0)
+            best = []
+            for _ in range(2 * bool(len(packed))):  # the heaviest, then the next; a lone term is both
+                most = np.maximum.reduceat(weight, np.searchsorted(doc, np.arange(len(packed))))
+                at = np.flatnonzero(weight == most[doc])
+                at = at[np.append(True, doc[at][1:] != doc[at][:-1])]
+                best.append(terms[at])
+                weight[at] = -2.0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in best or [[], []])], ["doc_id", "ids", "first", "second"])
 
     keyed = tokens.where("kind = 0").select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, first long, second long")
     keys = ["first", "second", "doc_id"]
