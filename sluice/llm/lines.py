@@ -37,7 +37,8 @@ from .groups import Links, bounded_nodes, compare_nodes
 
 RADIUS = 7
 SIMILARITY = 0.75
-_HELD = 48 << 20  # bytes of distinct lines that a task combines before it sends them on
+_HELD = 32 << 20  # bytes of distinct lines that a task combines before it sends them on
+_SINGLE = 256  # words of a line that is counted by itself
 _PART = 24 << 20  # bytes of text per task that merges lines
 _MEMBERS = 1 << 21  # SimHashes that share the blocks by which they are dealt, in the mean
 _UNIT = 64  # bytes of a line that are one of weight
@@ -59,31 +60,28 @@ def normalised(text: str) -> list[bytes]:
     return found
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def simhashes(lines: list[bytes]) -> np.ndarray:
     """For each line, the bits that more than half of its distinct words' hashes have.
 
-    Words are added to all lines at once, as bits of counters that hold 64 sums side by side.
+    Words are added to all lines at once, as bits of counters that hold 64 sums side by side; long lines one by one.
     """
     out, step = np.zeros(len(lines), np.uint64), 1 << 14
     for start in range(0, len(lines), step):
         words = [set(line.split(b" ")) for line in lines[start : start + step]]
         sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        flat = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        del words
         first = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(sizes > _SINGLE).tolist():
+            sums = np.zeros(64, np.int64)
+            for at in range(first[i], first[i] + sizes[i], 1 << 16):
+                some = flat[at : min(at + (1 << 16), first[i] + sizes[i])].astype("<u8").view(np.uint8).reshape(-1, 8)
+                sums += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[start + i] = np.packbits(2 * sums > sizes[i], bitorder="little").view("<u8")[0]
         order = np.argsort(-sizes, kind="stable")
-        for at in range(0, len(order), 2048):
-            group = order[at : at + 2048]
+        order = order[sizes[order] <= _SINGLE]
+        for at in range(0, len(order), 4096):
+            group = order[at : at + 4096]
             n, base = sizes[group], first[group]
             bits = int(n[0]).bit_length()
             sums = np.zeros((bits, len(group)), np.uint64)
@@ -193,7 +191,7 @@ def _combined(parts: int):
                         if not line:
                             continue
                         key, at = xxhash.xxh3_128_digest(line), (doc_id, row, position)
-                        held += 100
+                        held += 200
                         if (known := first.get(key)) is None:
                             first[key] = (at, line)
                             held += len(line)
@@ -292,7 +290,7 @@ def _dealt(dealing: list[int]):
             rows["id"], rows["simhash"] = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
             rows["weight"] = np.minimum(b.column(2).to_numpy() // _UNIT + 1, 65_535)
             held.append(rows)
-            if sum(map(len, held)) >= 1 << 20:
+            if sum(map(len, held)) >= 1 << 18:
                 yield packed(np.concatenate(held))
                 held = []
         if held:
@@ -315,7 +313,7 @@ def _dealt(dealing: list[int]):
 
 def connected(hashes: np.ndarray, masks: list[int]) -> np.ndarray:
     """A label for each of some different SimHashes, equal for those connected by pairs within the radius that agree in a mask."""
-    label = np.arange(len(hashes))
+    label, place, low = np.arange(len(hashes)), np.arange(len(hashes), dtype=np.uint64), np.uint64(max(1, len(hashes).bit_length()))
 
     def join(a, b):
         nonlocal label
@@ -330,9 +328,12 @@ def connected(hashes: np.ndarray, masks: list[int]) -> np.ndarray:
             label = root[label]
 
     for mask in masks:
-        key = hashes & np.uint64(mask)
-        order = np.argsort(key)
-        key = key[order]
+        # the upper bits of a product of the key with the place below them sort fast; keys that it makes equal only cost a comparison
+        key = (hashes & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> low << low | place
+        key.sort()
+        order = (key & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
+        key >>= low
         same = key[1:] == key[:-1]
         inside = np.append(False, same) | np.append(same, False)
         order, key = order[inside], key[inside]
@@ -422,7 +423,7 @@ def _flags(batches):
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``lines_removed`` (positions, null for none)."""
     gone = repeated_lines(docs.select("doc_id", "text"), **options).groupBy("doc_id", "row").agg(F.collect_set("position").alias("positions"))
-    gone = gone.mapInArrow(_flags, "doc_id long, row long, lines_removed array<int>, flags array<boolean>").alias("g")
+    gone = gone.mapInArrow(_flags, "doc_id long, row long, lines_removed array<int>, flags array<boolean>").hint("shuffle_hash").alias("g")
     d = docs.alias("d")
     out = d.join(gone, (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.row")), "left")
     kept = F.zip_with(F.split("d.text", "\n"), "g.flags", lambda line, flag: F.when(F.coalesce(flag, F.lit(False)), None).otherwise(line))
