@@ -20,7 +20,7 @@ import os
 import re
 import unicodedata
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,9 @@ _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *(c for c in range(0x80,
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[[*range(0x41, 0x5B), *(c for c in range(0x80, 0x9F) if c != 0x97)]] += 0x20
 
+_SIGNS = np.zeros(256, bool)  # ASCII signs that are one piece with each other, whatever is before them
+_SIGNS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<|"]] = True
+
 
 class Merges:
     """Byte-pair merges of many words at once: of each word the pair of least rank, the leftmost if it occurs twice, again and again."""
@@ -57,47 +60,77 @@ class Merges:
     LONGEST = 40  # bytes of a word; longer ones go to the library
 
     def __init__(self, model: dict):
-        vocabulary, self.width = model["vocab"], len(model["vocab"])
+        vocabulary, self.width = model["vocab"], np.uint32(len(model["vocab"]))
+        if len(vocabulary) >= 1 << 16:
+            raise ValueError("merges: pairs of ids must fit in 32 bits")
         # the public byte alphabet: printable Latin-1 characters stand for their own bytes, the other bytes for U+0100 onwards
         own = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or 0xAE <= c]
         others = [c for c in range(256) if c not in own]
         sign = {c: chr(c) for c in own} | {c: chr(256 + i) for i, c in enumerate(others)}
         end = model["end_of_word_suffix"]
-        self.inner = np.array([vocabulary[sign[c]] for c in range(256)], np.uint64)
-        self.last = np.array([vocabulary[sign[c] + end] for c in range(256)], np.uint64)
+        self.inner = np.array([vocabulary[sign[c]] for c in range(256)], np.uint32)
+        self.last = np.array([vocabulary[sign[c] + end] for c in range(256)], np.uint32)
         pairs = [(vocabulary[x], vocabulary[y], vocabulary[x + y]) for x, y in model["merges"]]
-        left, right, merged = (np.array(c, np.uint64) for c in zip(*pairs, strict=True))
-        key = left * np.uint64(self.width) + right
-        order = np.argsort(key)
-        self.key, self.rank, self.merged = np.append(key[order], ~np.uint64(0)), np.append(order, len(order)), merged
-        self.none = len(order)
+        left, right, self.merged = (np.array(c, np.uint32) for c in zip(*pairs, strict=True))
+        self.none = len(pairs)
+        self._place(left * self.width + right)
+        self.begin = np.stack([self._ranks(self.inner[:, None], last[None, :]) for last in (self.inner, self.last)])
+
+    def _place(self, keys: np.ndarray) -> None:
+        """A hash table of pairs; a pair lies at its slot or at the next free one."""
+        self.bits, self.reach = 18, 0
+        self.slots = np.full((1 << self.bits) + 64, 0xFFFFFFFF, np.uint32)
+        self.slot_rank = np.full(len(self.slots), self.none, np.int32)
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            at = slot
+            while self.slots[at] != 0xFFFFFFFF:
+                at += 1
+            self.slots[at], self.slot_rank[at], self.reach = key, rank, max(self.reach, at - slot)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * np.uint64(self.width) + right
-        at = np.searchsorted(self.key, key)
-        return np.where(self.key[at] == key, self.rank[at], self.none)
+        shape = np.broadcast_shapes(left.shape, right.shape)
+        key = (left * self.width + right).ravel()
+        slot = self._slot(key).astype(np.int64)
+        there = self.slots[slot]
+        found = np.where(there == key, self.slot_rank[slot], np.int32(self.none))
+        open_ = np.flatnonzero((there != key) & (there != 0xFFFFFFFF))
+        for _ in range(self.reach):
+            if not len(open_):
+                break
+            slot[open_] += 1
+            there = self.slots[slot[open_]]
+            hit = there == key[open_]
+            found[open_[hit]] = self.slot_rank[slot[open_[hit]]]
+            open_ = open_[~hit & (there != 0xFFFFFFFF)]
+        return found.reshape(shape)
 
     def encode(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, given as stretches of bytes, one after another in no order, and (word, size) of each in that order."""
-        ids, names = [], []
+        ids, names = [np.zeros(0, np.uint32)], [np.zeros((2, 0), np.int64)]
         for n in np.unique(size).tolist():
             rows = np.flatnonzero(size == n)
             letters = raw[first[rows][:, None] + np.arange(n)]
             symbols = self.inner[letters]
             symbols[:, -1] = self.last[letters[:, -1]]
-            ranks = self._ranks(symbols[:, :-1], symbols[:, 1:])
+            ranks = self.begin[0][letters[:, :-1], letters[:, 1:]]
+            if n > 1:
+                ranks[:, -1] = self.begin[1][letters[:, -2], letters[:, -1]]
             while len(rows):
                 n = symbols.shape[1]
                 at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
                 least = ranks[np.arange(len(rows)), at] if n > 1 else np.full(len(rows), self.none)
                 done = least == self.none
-                ids.append(symbols[done].ravel())
-                names.append(np.stack([rows[done], np.full(done.sum(), n)]))
-                rows, symbols, ranks, at, least = rows[~done], symbols[~done], ranks[~done], at[~done], least[~done]
-                if not len(rows):
-                    break
-                each = np.arange(len(rows))
-                symbols[each, at] = self.merged[least]
+                if done.any():
+                    ids.append(symbols[done].ravel())
+                    names.append(np.stack([rows[done], np.full(done.sum(), n)]))
+                    go = ~done
+                    rows, symbols, ranks, at, least = rows[go], symbols[go], ranks[go], at[go], least[go]
+                    if not len(rows):
+                        break
+                symbols[np.arange(len(rows)), at] = self.merged[least]
                 stay = np.arange(n - 1)
                 symbols = np.take_along_axis(symbols, stay + (stay > at[:, None]), 1)
                 stay = stay[:-1]
@@ -113,76 +146,90 @@ class WordEncoder:
     """Ids of a text, put together from those of its stretches between ASCII white space.
 
     The tokenizer's pattern never reaches over white space and its normalisation composes nothing with it, so
-    stretches are independent. Each different one is encoded once; a bounded number of them is remembered.
+    stretches are independent, and each different one of some texts is encoded once. Latin letters, alone or before
+    signs, are merged here; all other pieces are the library's, and a bounded number of them is remembered.
     """
 
-    def __init__(self, tokenizer_file: str, remember: int = 1_200_000):
+    def __init__(self, tokenizer_file: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
-        self.remember = remember
-        self._forget()
-
-    def _forget(self) -> None:
-        #: Number of each stretch and of each piece; the numbers' ids lie one after another.
-        self.known, self.parts = {"": 0}, {}  # parts: ids of pieces
-        self.ids, self.start, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), [0, 1]
+        self.remember, self.parts = remember, {}
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text's begin and end. A null text has none."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id after it, and where each text's begin and end. A null text has none."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
-        if (numbers < 0).any():
-            if len(self.known) + len(names) > self.remember:  # only a memory of work done
-                self._forget()
-                numbers[:] = [self.known.get(w, -1) for w in names]
-            new = np.flatnonzero(numbers < 0)
-            numbers[new] = self._learn(words.dictionary.take(pa.array(new)))
-        each = numbers[words.indices.to_numpy()]
-        sizes = self.size[each]
-        ends = np.append(0, np.cumsum(sizes))
-        at = np.repeat(self.start[each] - ends[:-1], sizes) + np.arange(ends[-1])
-        offsets = split.offsets.to_numpy()
-        return self.ids[at], ends[offsets - offsets[0]]
-
-    def _learn(self, words: pa.Array) -> np.ndarray:
-        """Numbers of new stretches."""
+        ids, sizes = self._table(words.dictionary)
+        start = np.cumsum(sizes) - sizes
+        each = words.indices.to_numpy()
+        borders = split.offsets.to_numpy()
+        borders = borders - borders[0]
+        del split, words
+        if end_id is not None:
+            each = np.insert(each, borders[1:], len(sizes))
+            ids, start, sizes = np.append(ids, self.dtype.type(end_id)), np.append(start, len(ids)), np.append(sizes, 1)
+            borders = borders + np.arange(len(borders))
+        kind = np.int32 if len(ids) < 1 << 30 else np.int64
+        size = sizes.astype(kind)[each]
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))[borders]
+        return ids[_spread(start.astype(kind)[each], size)], ends
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different stretches one after another, and how many each has."""
         _, offsets, data = words.buffers()
-        first = np.frombuffer(offsets, np.int64, len(words) + 1)
-        raw, size = np.frombuffer(data, np.uint8, int(first[-1])), np.diff(first)
-        plain = np.logical_and.reduceat(_LETTERS[raw], first[:-1]) & (size <= Merges.LONGEST)
-        numbers, names = np.zeros(len(words), np.int64), words.to_pylist()
-        if plain.any():
-            ids, (which, sizes) = self.merges.encode(_LOWERED[raw], first[:-1][plain], size[plain])
-            numbers[np.flatnonzero(plain)[which]] = self._add(ids, sizes)
-        others = np.flatnonzero(~plain).tolist()
-        several = [self._divide(names[i]) for i in others]
-        parts = self.parts
-        need = list({p for ps in several for p in ps if p not in parts})
+        first = np.frombuffer(offsets, np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
+        filled = np.flatnonzero(np.diff(first))
+        raw, size, first = np.frombuffer(data or b"", np.uint8, int(first[-1])), np.diff(first)[filled], first[:-1][filled]
+        total = np.zeros(len(words), np.int64)
+        if not len(filled):
+            return np.zeros(0, self.dtype), total
+        letter = _LETTERS[raw]
+        head = np.minimum.reduceat(np.where(letter, len(raw), np.arange(len(raw))), first) - first
+        head = np.minimum(head, size)
+        plain = (head > 0) & (head <= Merges.LONGEST) & (size - head <= 4)
+        plain &= (np.add.reduceat(letter, first, dtype=np.int64) == head) & (np.add.reduceat(letter | _SIGNS[raw], first, dtype=np.int64) == size)
+        known, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        # up to four signs after the letters, as one number
+        rest, tail = (size - head)[known], np.zeros(len(known), np.uint32)
+        for k in range(4):
+            some = rest > k
+            tail[some] |= raw[(first + head)[known[some]] + k].astype(np.uint32) << np.uint32(8 * k)
+        kinds, tail = np.unique(tail, return_inverse=True)
+        signs = [int(k).to_bytes(4, "little").rstrip(b"\0").decode() for k in kinds]
+        several = [self._divide(w) for w in words.take(pa.array(filled[others])).to_pylist()]
+        parts = self._parts({p for ps in several for p in ps} | set(signs))
+
+        ids, (which, sizes) = self.merges.encode(_LOWERED[raw], first[known], head[known])
+        own = np.zeros(len(known), np.int64)
+        own[which] = sizes
+        after = np.array([len(parts[e]) for e in signs], np.int64)
+        total[filled[known]] = own + after[tail]
+        found = [parts[p] for ps in several for p in ps]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        pieces = np.fromiter(map(len, several), np.int64, len(several))
+        if len(several):
+            total[filled[others]] = np.add.reduceat(counts, np.cumsum(pieces) - pieces)
+        start = np.cumsum(total) - total
+        flat = np.empty(int(total.sum()), self.dtype)
+        flat[_spread(start[filled[known]][which], sizes)] = ids
+        ends = np.fromiter(chain.from_iterable(parts[e] for e in signs), self.dtype, int(after.sum()))
+        flat[_spread(start[filled[known]] + own, after[tail])] = ends[_spread((np.cumsum(after) - after)[tail], after[tail])]
+        flat[_spread(start[filled[others]], total[filled[others]])] = np.fromiter(chain.from_iterable(found), self.dtype, int(counts.sum()))
+        return flat, total
+
+    def _parts(self, wanted: set[str]) -> dict[str, list[int]]:
+        """The library's ids of pieces."""
+        if len(self.parts) + len(wanted) > self.remember:  # only a memory of work done
+            self.parts = {}
+        need = [p for p in wanted if p not in self.parts]
         for i in range(0, len(need), 20_000):
             some = need[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            parts.update(zip(some, found, strict=True))
-        found = [parts[ps[0]] if len(ps) == 1 else list(chain.from_iterable([parts[p] for p in ps])) for ps in several]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        numbers[others] = self._add(np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes)
-        self.known.update(zip(names, numbers.tolist(), strict=True))
-        return numbers
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        end, n = self.used[0] + len(ids), self.used[1] + len(sizes)
-        self.ids, self.start, self.size = _grown(self.ids, end), _grown(self.start, n), _grown(self.size, n)
-        self.ids[self.used[0] : end] = ids
-        self.start[self.used[1] : n] = self.used[0] + np.cumsum(sizes) - sizes
-        self.size[self.used[1] : n] = sizes
-        added = np.arange(self.used[1], n)
-        self.used = [end, n]
-        return added
+            self.parts.update(zip(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+        return self.parts
 
     @staticmethod
     def _divide(stretch: str) -> list[str]:
@@ -196,12 +243,16 @@ class WordEncoder:
         return np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-def _grown(a: np.ndarray, n: int) -> np.ndarray:
-    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of stretches, one after another."""
+    end = np.cumsum(size)
+    last = int(end[-1]) if len(end) else 0
+    kind = np.int32 if last < 1 << 30 and (not len(start) or start.max() < 1 << 30) else np.int64
+    return np.repeat((start - end + size).astype(kind), size) + np.arange(last, dtype=kind)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
-_STEP = 8 << 20  # bytes of text encoded at a time, beside one text
+_STEP = 16 << 20  # bytes of text encoded at a time, beside one text
 _TOKENS = {"doc_id": pa.int64(), "kind": pa.int32(), "ids": pa.binary()}
 
 
@@ -235,12 +286,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID)
         for batch in batches:
             borders = _steps(batch.column(1))
             for a, z in zip(borders, borders[1:], strict=False):
-                plain, ends = encoder.encode(batch.column(1).slice(a, z - a))
-                ends = ends + np.arange(z - a + 1)
-                ids = np.empty(int(ends[-1]), encoder.dtype)
-                last = np.zeros(len(ids), bool)
-                last[ends[1:] - 1] = True
-                ids[last], ids[~last] = end_id, plain
+                ids, ends = encoder.encode(batch.column(1).slice(a, z - a), end_id)
                 df += np.bincount(counted(ids, ends, encoder.vocabulary)[1], minlength=encoder.vocabulary)
                 seen = True
                 data = pa.Array.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer((ends * width).astype(np.int64)), pa.py_buffer(ids)])

@@ -474,7 +474,7 @@ def test_word_encoder_agrees_with_the_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    t, own = Tokenizer.from_file(path), packing.WordEncoder(path, remember=3000)
+    t, own = Tokenizer.from_file(path), packing.WordEncoder(path, remember=300)
     bits = [" ", "  ", "\n", "é", "É", "é", "Σ", "ÿ", "Ÿ", "×", "÷", "ß", "İ", "'s", "'S", "n't", "<|endoftext|>", "<|", "ab", "The", "aaa", "x1", "12", "--", "中", "🙂", " ", "\u0085", "\x1c", "ª", "À", "Þ", "_", "ﬁ", "\x00", "'", "ing", "stration", "o" * 50]
     for _ in range(5):
         texts = ["".join(R.choice(bits) for _ in range(R.randint(0, 12))) for _ in range(2000)] + [None, "", "antidisestablishmentarianism " * 3]
