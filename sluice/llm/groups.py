@@ -4,18 +4,19 @@ A group (node) is a set of ids. Groups that hold the same ids are compared once;
 a stated size are cut into blocks, and each pair of blocks is a group of its own, so no task
 holds more than two blocks and no pair of ids goes uncompared. Inside a group, ids that are
 already connected are not compared again, so a group of n copies takes about n comparisons
-and yields at most n - 1 links.
+and yields at most n - 1 links. Sets of ids that overlap are compared together (``link_sets``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialize
+from .common import components, is_empty, materialize
 
 
 def node_sizes(members: DataFrame) -> DataFrame:
@@ -115,3 +116,98 @@ def compare_nodes(nodes: DataFrame, contents: DataFrame, prepare: Callable, link
 
     rows = nodes.join(contents, "id").select("node", "id", "content").repartition("node").sortWithinPartitions("node", "id")
     return rows.mapInArrow(run, "a long, b long")
+
+
+def connect(key: np.ndarray, item: np.ndarray, label: np.ndarray, close: Callable) -> np.ndarray:
+    """``label`` (of items) with items joined that are ``close`` and have equal keys.
+
+    ``key`` is sorted, ``item`` has the item at each of its places, and ``close(a, b)`` tells for arrays of items which pairs are.
+    All pairs of places that are one apart are looked at, then two apart, and so on, as long as their keys are equal; keys
+    all of whose items are joined already need no more.
+    """
+
+    def joined(found):
+        nonlocal label
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        while True:
+            x, y = label[a], label[b]
+            if (x == y).all():
+                return
+            root = np.arange(len(label))
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+
+    same = key[1:] == key[:-1]
+    inside = np.append(False, same) | np.append(same, False)
+    key, item = key[inside], item[inside]
+    at, gap, found, count = np.arange(len(key)), 0, [], 0
+    while len(at):
+        gap += 1
+        at = at[at + gap < len(key)]
+        at = at[key[at] == key[at + gap]]
+        a, b = item[at], item[at + gap]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        hit = close(a, b) if len(a) else np.zeros(0, bool)
+        if hit.any():
+            found.append((a[hit], b[hit]))
+            count += int(hit.sum())
+        if (gap % 16 == 0 or count > 1 << 20) and found:
+            joined(found)
+            found, count = [], 0
+        if gap % 16 == 0 and len(at):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            now = label[item]
+            done = np.minimum.reduceat(now, first) == np.maximum.reduceat(now, first)
+            at = at[~done[np.searchsorted(first, at, side="right") - 1]]
+    if found:
+        joined(found)
+    return label
+
+
+def link_sets(sets: DataFrame, contents: DataFrame, prepare: Callable, link: Callable, max_ids: int, max_weight: int) -> DataFrame:
+    """Links ``a, b`` that connect what ``link`` connects among ids that share a set.
+
+    sets: ``node, id, root, weight``, a row for each member of a set; root is a member of the same set. Sets that
+    overlap, directly or through others, are one group. A group within the two limits is compared as it is, each content being
+    read once. A larger one is compared in blocks first, and what that has joined is then one class; of its sets only those
+    of more than one class and block are compared on, without the pairs inside the set's largest class.
+    """
+    sets = materialize(sets, "sets")
+    ids = sets.groupBy("id").agg(F.max("weight").alias("weight"))
+    groups = components(sets.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
+    ids = materialize(groups.join(ids, "id"), "grouped")
+    sizes = ids.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("n") / max_ids), F.ceil(F.col("w") / max_weight)).cast("long").alias("blocks")
+    blocked = materialize(ids.join(sizes.select("component", blocks), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "blocked")
+    links = materialize(compare_nodes(blocked.select(F.xxhash64("component", "block").alias("node"), "id"), contents, prepare, link), "links")
+    large = blocked.where("blocks > 1")
+    if is_empty(large):
+        return links
+    classes = components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
+    large = large.select("id", "block", "weight").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    members = materialize(sets.select("node", "id").join(large, "id"), "members")
+    kinds = members.groupBy("node", "class").agg(F.count("*").alias("k"), F.sum("weight").alias("kw"), F.min("block").alias("low"), F.max("block").alias("high"))
+    nodes = kinds.groupBy("node").agg(
+        F.count("*").alias("classes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("class", "k").alias("main"), F.max("k").alias("k"),
+        F.sum("k").alias("n"), F.max_by("kw", "k").alias("kw"), F.sum("kw").alias("w"),
+    )
+    nodes = nodes.where("classes > 1 and low < high")
+
+    def parts(n, w):
+        return F.greatest(F.lit(1), F.ceil(2 * n / max_ids), F.ceil(2 * w / max_weight)).cast("long")
+
+    rest = parts(F.col("n") - F.col("k"), F.col("w") - F.col("kw"))
+    nodes = materialize(nodes.select("node", "main", rest.alias("rest"), parts(F.col("k"), F.col("kw")).alias("mains")), "open")
+    if is_empty(nodes):
+        return links
+    rows = members.join(nodes, "node")
+    block = F.when(F.col("class") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node", "id"), "mains")).otherwise(F.pmod(F.xxhash64("node", "id"), "rest"))
+    rows = rows.withColumn("own", block)
+    others = F.when(F.col("own") < F.col("rest"), F.sequence(F.lit(0), F.col("rest") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") - 1))
+    rows = rows.withColumn("other", F.explode(others))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    more = compare_nodes(rows.select(pair.alias("node"), "id"), contents, prepare, link)
+    return links.unionByName(more)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
-from .groups import Links, bounded_nodes, compare_nodes
+from .groups import Links, connect, link_sets
 
 RADIUS = 7
 SIMILARITY = 0.75
@@ -314,61 +314,28 @@ def _dealt(dealing: list[int]):
 def connected(hashes: np.ndarray, masks: list[int]) -> np.ndarray:
     """A label for each of some different SimHashes, equal for those connected by pairs within the radius that agree in a mask."""
     label, place, low = np.arange(len(hashes)), np.arange(len(hashes), dtype=np.uint64), np.uint64(max(1, len(hashes).bit_length()))
-
-    def join(a, b):
-        nonlocal label
-        while True:
-            x, y = label[a], label[b]
-            if (x == y).all():
-                return
-            root = np.arange(len(label))
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
-            label = root[label]
-
     for mask in masks:
         # the upper bits of a product of the key with the place below them sort fast; keys that it makes equal only cost a comparison
         key = (hashes & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)
         key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> low << low | place
         key.sort()
         order = (key & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
-        key >>= low
-        same = key[1:] == key[:-1]
-        inside = np.append(False, same) | np.append(same, False)
-        order, key = order[inside], key[inside]
-        at, gap, found = np.arange(len(key)), 0, []
-        while len(at):
-            gap += 1
-            at = at[at + gap < len(key)]
-            at = at[key[at] == key[at + gap]]
-            a, b = order[at], order[at + gap]
-            hit = (label[a] != label[b]) & (np.bitwise_count(hashes[a] ^ hashes[b]) <= RADIUS)
-            if hit.any():
-                found.append((a[hit], b[hit]))
-            if found and gap % 16 == 0:
-                join(*(np.concatenate(c) for c in zip(*found, strict=True)))
-                found = []
-            if gap % 16 == 0 and len(at):  # keys whose hashes are all connected need no more
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                now = label[order]
-                done = np.minimum.reduceat(now, first) == np.maximum.reduceat(now, first)
-                at = at[~done[np.searchsorted(first, at, side="right") - 1]]
-        if found:
-            join(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        label = connect(key >> low, order, label, lambda a, b: np.bitwise_count(hashes[a] ^ hashes[b]) <= RADIUS)
     return label
 
 
 def _close(masks_of: list[tuple[int, list[int]]]):
-    """``node, id, weight``: lines that are connected by SimHashes within the radius."""
+    """``node, id, root, weight``: sets of lines that are connected by SimHashes within the radius."""
 
     def groups(part: int, rows):
         hashes, inverse = np.unique(rows["simhash"], return_inverse=True)
         number = next(k for k, (mask, _) in enumerate(masks_of) if xxhash.xxh64_intdigest((hashes[0] & np.uint64(mask)).tobytes(), k) - (1 << 63) == part)
         label = connected(hashes, masks_of[number][1])[inverse]
         many = np.bincount(label)[label] > 1
-        node = {of: xxhash.xxh64_intdigest(f"{part} {of}") - (1 << 63) for of in np.unique(label[many]).tolist()}
-        return [node[of] for of in label[many].tolist()], rows["id"][many], rows["weight"][many].astype(np.int64) * _UNIT
+        ids, label, weight = rows["id"][many], label[many], rows["weight"][many].astype(np.int64) * _UNIT
+        kinds, first, which = np.unique(label, return_index=True, return_inverse=True)
+        node = np.array([xxhash.xxh64_intdigest(f"{part} {of}") - (1 << 63) for of in kinds.tolist()], np.int64)
+        return node[which], ids, ids[first][which], weight
 
     def run(batches):
         held: dict[int, list] = {}
@@ -377,18 +344,18 @@ def _close(masks_of: list[tuple[int, list[int]]]):
                 held.setdefault(part, []).append(np.frombuffer(data, _MEMBER))
         while held:
             part, found = held.popitem()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in groups(part, np.concatenate(found))], ["node", "id", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in groups(part, np.concatenate(found))], ["node", "id", "root", "weight"])
 
     return run
 
 
 def near_lines(lines: DataFrame, n_lines: int, parts: int) -> DataFrame:
-    """``node, id, weight`` groups in which any two lines within the radius meet; ``lines``: id, simhash, content."""
+    """``node, id, root, weight`` sets in which any two lines within the radius meet; ``lines``: id, simhash, content."""
     masks_of = choices(*layout(n_lines))
     parts = max(parts, -(-n_lines * len(masks_of) * _MEMBER.itemsize // _PART))
     sent = lines.select("id", "simhash", F.octet_length("content").cast("long").alias("weight"))
     dealt = sent.mapInArrow(_dealt([mask for mask, _ in masks_of]), "part long, members binary").repartition(parts, "part")
-    return dealt.mapInArrow(_close(masks_of), "node long, id long, weight long")
+    return dealt.mapInArrow(_close(masks_of), "node long, id long, root long, weight long")
 
 
 # -- the operator ----------------------------------------------------------------------------------------------
@@ -402,8 +369,8 @@ def repeated_lines(docs: DataFrame, max_ids: int = 2000, max_weight: int = 4_000
     schema = "id long, doc_id long, row long, position int, simhash long, content binary"
     found = materialize(docs.mapInArrow(_combined(parts), _STRETCH).repartition(parts, "part").mapInArrow(_merged, schema), "lines")
     lines = found.where("simhash is not null")
-    members = near_lines(lines, lines.count(), parts)
-    links = compare_nodes(bounded_nodes(members, max_ids, max_weight), lines.select("id", "content"), _prepared, _linked)
+    sets = near_lines(lines, lines.count(), parts)
+    links = link_sets(sets, lines.select("id", "content"), _prepared, _linked, max_ids, max_weight)
     groups = components(links)
     first = F.struct("doc_id", "row", "position").alias("first")
     named = materialize(lines.select(F.col("id").alias("node"), first).join(groups, "node").select("component", "first"), "repeats")

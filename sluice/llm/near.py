@@ -4,9 +4,11 @@ A document's set has its distinct five-word shingles. Documents with equal sets
 classes are then sent down random trees. At each node a random few of the minwise functions
 are chosen, two in the mean, and a class goes to the child named by its minwise token
 for each of them, so that two classes at the threshold meet in one or two children in the mean
-and unlike ones part at once. Nodes small enough are compared exhaustively on full sets, with
-prefix filtering; larger ones branch again, and what is still large at the last level is
-compared in blocks, whole. Trees are repeated to the target recall at the deepest level.
+and unlike ones part at once. In nodes small enough all classes are compared by sketches, a byte of each
+minwise token; larger ones branch again, and what is still large at the last level is
+compared in blocks, whole. Classes whose sketches agree as often as those of two at the threshold nearly always do are
+then compared exhaustively on full sets, with prefix filtering, each text being read once but for those in groups
+over the limits. Trees are repeated to the target recall at the deepest level.
 
 Cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer words
 than a shingle is one shingle; rows with equal sets are linked; rows that share an id are in one class or
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, is_empty, materialize
-from .groups import bounded_nodes, compare_nodes, link_candidates
+from .groups import connect, link_candidates, link_sets
 
 WORDS = 5
 PERCENT = 75  # least 100 * |A & B| / |A | B| of a link
@@ -81,22 +83,23 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_digest, signature of each document; digest and signature are null for empty sets."""
+    """doc_id, n_shingles, set_digest, sketch, signature of each document; the last three are null for empty sets."""
 
     def run(batches):
         for batch in batches:
-            n, digests, signatures = [], [], []
+            n, digests, signatures, bytes_ = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(minwise(s) if len(s) else None)
+                bytes_.append((signatures[-1] >> 24).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_digest", "signature"],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, bytes_)), pa.array(signatures, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_digest", "sketch", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, sketch binary, signature array<long>")
 
 
 def _linked(sets: list[np.ndarray]):
@@ -170,53 +173,110 @@ def root_paths(recall: float, levels: int) -> tuple[list[tuple[int, int]], int]:
     return roots, few
 
 
-def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int, max_weight: int) -> DataFrame:
-    """``node, id`` groups in which any two classes at the threshold meet with high probability.
+def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int) -> DataFrame:
+    """``classes`` rows with the ``node`` they are in, so that any two at the threshold meet in one with high probability.
 
-    classes: ``id, weight, signature``. A node over the limits branches again, up to ``levels`` times.
+    classes: ``id, signature`` and what else is to be carried along. A node over the limit branches again, up to ``levels``
+    times; what is still larger at the last level comes as nodes of two of its blocks each, for all pairs of blocks.
     """
     roots, few = root_paths(recall, levels)
 
     def below(rows, paths):
-        return rows.select("id", "weight", F.explode(F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in paths))).alias("node"))
+        return rows.withColumn("node", F.explode(F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in paths))))
 
     def over(nodes):
-        return nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where((F.col("n") > max_ids) | (F.col("w") > max_weight)).select("node", F.lit(True).alias("large"))
+        return materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > max_ids), "large")
 
-    nodes, done = below(classes, roots[:few]), None
-    for level in range(levels):
-        nodes = materialize(nodes, "level")
+    nodes, done = below(classes, roots[:few]), []
+    for level in range(levels + 1):
         large = over(nodes)
         if is_empty(large):
             break
         if not level and few < len(roots):
-            hot = nodes.join(large, "node").select("id").distinct()
-            nodes = nodes.select("id", "weight", "node").unionByName(materialize(below(classes.join(hot, "id"), roots[few:]), "level"))
+            hot = materialize(nodes.join(large, "node", "left_semi").select("id").distinct(), "hot")
+            nodes = nodes.unionByName(below(classes.join(hot, "id", "left_semi"), roots[few:]))
             large = over(nodes)
-        split = nodes.join(large, "node", "left")
-        small = split.where("large is null").select("node", "id", "weight")
-        done = small if done is None else done.unionByName(small)
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda c: F.pmod(F.xxhash64("node", c), F.lit(SPREAD)) == 0)
-        rows = split.where("large").select("node", "id", "weight").join(classes.select("id", "signature"), "id")
-        rows = rows.withColumn("c", F.explode(chosen))
-        nodes = rows.select("id", "weight", F.xxhash64("node", "c", F.get("signature", F.col("c"))).alias("node"))
-    nodes = nodes.select("node", "id", "weight")
-    return nodes if done is None else done.unionByName(nodes)
-
-
-def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, max_ids: int = 1500, max_weight: int = 4_000_000) -> DataFrame:
+        done.append(nodes.join(large, "node", "left_anti"))
+        rows = nodes.join(large, "node")
+        if level < levels:
+            chosen = F.filter(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda c: F.pmod(F.xxhash64("node", c), F.lit(SPREAD)) == 0)
+            rows = rows.withColumn("c", F.explode(chosen)).withColumn("node", F.xxhash64("node", "c", F.get("signature", F.col("c"))))
+        else:
+            rows = rows.withColumn("blocks", F.ceil(2 * F.col("n") / max_ids)).withColumn("own", F.pmod(F.xxhash64("node", "id"), "blocks"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows = rows.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+        nodes = materialize(rows.select(*classes.columns, "node"), "level")
+    for part in done:
+        nodes = nodes.unionByName(part.select(*nodes.columns))
+    return nodes
+
+
+def least_agreement(lost: float = 1e-6) -> int:
+    """In so many functions, or more, two sets at the threshold agree, but for a probability of ``lost``."""
+    p, below = PERCENT / 100, 0.0
+    for k in range(FUNCTIONS + 1):
+        below += math.comb(FUNCTIONS, k) * p**k * (1 - p) ** (FUNCTIONS - k)
+        if below > lost:
+            return k
+    return FUNCTIONS
+
+
+AGREE = least_agreement()
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bytes the rows of two tables of 64-bit words agree."""
+    x = a ^ b
+    return np.bitwise_count(~((((x & _LOW) + _LOW) | x) | _LOW) & _HIGH).sum(axis=1, dtype=np.int64)
+
+
+def _alike(batches):
+    """``node, id, root, weight``: sets of a node's classes that sketches, a byte of each function's least value, connect."""
+    rest = None
+
+    def sets(node, ids, weight, sketch):
+        def close(a, b):
+            out = np.empty(len(a), bool)
+            for i in range(0, len(a), 1 << 15):
+                out[i : i + (1 << 15)] = agreeing(sketch[a[i : i + (1 << 15)]], sketch[b[i : i + (1 << 15)]]) >= AGREE
+            return out
+
+        label = connect(node, np.arange(len(node)), np.arange(len(node)), close)
+        many = np.bincount(label, minlength=len(label))[label] > 1
+        kinds, first, which = np.unique(label[many], return_index=True, return_inverse=True)
+        root, ids, node, weight = ids[kinds][which], ids[many], node[many], weight[many]
+        names = np.array([xxhash.xxh64_intdigest(f"{n} {r}") - (1 << 63) for n, r in zip(node[first].tolist(), root[first].tolist(), strict=True)], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (names[which], ids, root, weight)], ["node", "id", "root", "weight"])
+
+    for b in batches:
+        sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, FUNCTIONS // 8)
+        now = [*(b.column(c).to_numpy() for c in range(3)), sketch]
+        if rest is not None:
+            now = [np.concatenate(c) for c in zip(rest, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+        rest = [c[cut:] for c in now]
+        if cut:
+            yield sets(*(c[:cut] for c in now))
+    if rest is not None and len(rest[0]):
+        yield sets(*rest)
+
+
+def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, max_ids: int = 1500, max_weight: int = 4_000_000, max_node: int = 4096) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document."""
     sketch = materialize(sketches(docs), "sketches")
     full = sketch.where("n_shingles > 0")
-    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("weight"), F.first("signature").alias("signature"))
-    classes = materialize(classes.where("id is not null"), "classes")
-    nodes = chosen_paths(classes.select("id", "weight", "signature"), recall, levels, max_ids, max_weight)
-    nodes = bounded_nodes(nodes, max_ids, max_weight)
+    same = full.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("weight"), F.first(F.struct("signature", "sketch")).alias("s"))
+    classes = materialize(same.where("id is not null").select("set_digest", "id", "weight", "s.*"), "classes")
+    nodes = chosen_paths(classes.select("id", "weight", "sketch", "signature"), recall, levels, max_node)
+    rows = nodes.select("node", "id", "weight", "sketch").repartition("node").sortWithinPartitions("node")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("content"))
-    links = compare_nodes(nodes, texts, shingles, _linked)
+    links = link_sets(rows.mapInArrow(_alike, "node long, id long, root long, weight long"), texts, shingles, _linked, max_ids, max_weight)
     found = components(links)
     named = classes.select("set_digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_digest", F.coalesce("component", "id").alias("component_id"))
-    out = full.join(named, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = full.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

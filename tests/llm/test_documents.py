@@ -147,7 +147,7 @@ def test_near_duplicates(docs, odd, empty):
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     linked = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     low = reachable(len(sets), linked)
-    for limits in ({}, {"max_ids": 4, "levels": 2}):
+    for limits in ({}, {"max_node": 4, "levels": 2, "max_ids": 3}, {"max_weight": 300}):
         found = by_id(near.near_duplicates(docs, **limits))
         assert [(found[i].n_shingles, found[i].component_id, found[i].kept) for i in range(len(sets))] == [(len(s), low[i], low[i] == i) for i, s in enumerate(sets)]
     assert near.near_duplicates(odd).count() == 5
@@ -164,7 +164,7 @@ def test_chosen_paths_reach_their_recall_in_large_nodes(spark):
         rows += [(2 * i, 1, a.tolist()), (2 * i + 1, 1, b.tolist())]
     classes = spark.createDataFrame(rows, "id long, weight long, signature array<long>").cache()
     for levels in (1, 2, 3):
-        nodes = near.chosen_paths(classes, 0.9999, levels, max_ids=1, max_weight=1 << 40)
+        nodes = near.chosen_paths(classes, 0.9999, levels, max_ids=1)
         pairs = nodes.selectExpr("node", "id", "id div 2 as pair").distinct().groupBy("node", "pair").count().where("count = 2")
         assert n - pairs.select("pair").distinct().count() <= 3
 
