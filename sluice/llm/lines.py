@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,16 +44,19 @@ _PART = 24 << 20  # bytes of text per task that merges lines
 _MEMBERS = 1 << 21  # SimHashes that share the blocks by which they are dealt, in the mean
 _UNIT = 64  # bytes of a line that are one of weight
 _GAP = re.compile(r"[^\w\n]+")
-_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 or c == 10 else 32 for c in range(256))
+_LATIN = bytes(c if chr(c).isalnum() or c == 10 else 32 for c in range(256))
+_STEP = 1 << 14  # lines whose words are held at a time
 
 
 def normalised(text: str) -> list[bytes]:
     """The normalised form of each line of a text, in UTF-8; empty for blank lines, marked for those of signs only."""
-    if text.isascii():
-        found = [b" ".join(line.split()) for line in text.encode().translate(_ASCII).split(b"\n")]
-    else:
-        plain = _GAP.sub(" ", text.lower().replace("_", " "))
-        found = [line.strip(" ").encode("utf-8", "surrogatepass") for line in plain.split("\n")]
+    plain = text.lower()
+    try:
+        lines = plain.encode("latin-1").translate(_LATIN).split(b"\n")
+        found = b"\n".join([b" ".join(line.split()) for line in lines])
+        found = (found if plain.isascii() else found.decode("latin-1").encode()).split(b"\n")
+    except UnicodeEncodeError:
+        found = [line.strip(" ").encode("utf-8", "surrogatepass") for line in _GAP.sub(" ", plain.replace("_", " ")).split("\n")]
     if not all(found):
         for i, raw in enumerate(text.split("\n")):
             if not found[i] and (bare := raw.strip()):
@@ -60,46 +64,72 @@ def normalised(text: str) -> list[bytes]:
     return found
 
 
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, np.uint64)))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of different words, from their bytes."""
+    _, offsets, data = words.buffers()
+    first = np.frombuffer(offsets, np.int64, len(words) + 1)
+    raw, size = np.frombuffer(data or b"", np.uint8, int(first[-1])), np.diff(first)
+    out = size.astype(np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        place = np.arange(len(raw)) - np.repeat(first[:-1], size)
+        out[some] += np.add.reduceat((raw + np.uint64(1)) * _POWERS[place % len(_POWERS)], first[:-1][some])
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        out = (out ^ out >> np.uint64(shift)) * np.uint64(factor)
+    return out
+
+
 def simhashes(lines: list[bytes]) -> np.ndarray:
     """For each line, the bits that more than half of its distinct words' hashes have.
 
     Words are added to all lines at once, as bits of counters that hold 64 sums side by side; long lines one by one.
     """
-    out, step = np.zeros(len(lines), np.uint64), 1 << 14
-    for start in range(0, len(lines), step):
-        words = [set(line.split(b" ")) for line in lines[start : start + step]]
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-        del words
-        first = np.cumsum(sizes) - sizes
-        for i in np.flatnonzero(sizes > _SINGLE).tolist():
-            sums = np.zeros(64, np.int64)
-            for at in range(first[i], first[i] + sizes[i], 1 << 16):
-                some = flat[at : min(at + (1 << 16), first[i] + sizes[i])].astype("<u8").view(np.uint8).reshape(-1, 8)
-                sums += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[start + i] = np.packbits(2 * sums > sizes[i], bitorder="little").view("<u8")[0]
-        order = np.argsort(-sizes, kind="stable")
-        order = order[sizes[order] <= _SINGLE]
-        for at in range(0, len(order), 4096):
-            group = order[at : at + 4096]
-            n, base = sizes[group], first[group]
-            bits = int(n[0]).bit_length()
-            sums = np.zeros((bits, len(group)), np.uint64)
-            active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # lines of more than j words
-            for j, m in enumerate(active.tolist()):
-                carry = flat[base[:m] + j]
-                for k in range((j + 1).bit_length()):
-                    plane = sums[k, :m]
-                    over = plane & carry
-                    plane ^= carry
-                    carry = over
-            least = (n // 2 + 1).astype(np.uint64)
-            more, same = np.zeros(len(group), np.uint64), np.full(len(group), ~np.uint64(0))
-            for k in range(bits - 1, -1, -1):
-                wanted = np.uint64(0) - ((least >> np.uint64(k)) & np.uint64(1))
-                more |= same & sums[k] & ~wanted
-                same &= ~(sums[k] ^ wanted)
-            out[start + group] = more | same
+    return np.concatenate([_simhashes(lines[i : i + _STEP]) for i in range(0, len(lines), _STEP)] or [np.zeros(0, np.uint64)])
+
+
+def _simhashes(lines: list[bytes]) -> np.ndarray:
+    out = np.zeros(len(lines), np.uint64)
+    split = pc.split_pattern(pa.array(lines, pa.large_binary()), b" ")
+    words = split.flatten().dictionary_encode()
+    hashes = word_hashes(words.dictionary)
+    count = np.diff(split.offsets.to_numpy())
+    key = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), count) | words.indices.to_numpy().astype(np.uint64)
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])]
+    sizes = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+    flat = hashes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    first = np.cumsum(sizes) - sizes
+    for i in np.flatnonzero(sizes > _SINGLE).tolist():
+        sums, end = np.zeros(64, np.int64), int(first[i] + sizes[i])
+        for at in range(int(first[i]), end, 1 << 16):
+            some = flat[at : min(at + (1 << 16), end)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            sums += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * sums > sizes[i], bitorder="little").view("<u8")[0]
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] <= _SINGLE]
+    for at in range(0, len(order), 4096):
+        group = order[at : at + 4096]
+        n, base = sizes[group], first[group]
+        bits = int(n[0]).bit_length()
+        sums = np.zeros((bits, len(group)), np.uint64)
+        active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # lines of more than j words
+        for j, m in enumerate(active.tolist()):
+            carry = flat[base[:m] + j]
+            for k in range((j + 1).bit_length()):
+                plane = sums[k, :m]
+                over = plane & carry
+                plane ^= carry
+                carry = over
+        least = (n // 2 + 1).astype(np.uint64)
+        more, same = np.zeros(len(group), np.uint64), np.full(len(group), ~np.uint64(0))
+        for k in range(bits - 1, -1, -1):
+            wanted = np.uint64(0) - ((least >> np.uint64(k)) & np.uint64(1))
+            more |= same & sums[k] & ~wanted
+            same &= ~(sums[k] ^ wanted)
+        out[group] = more | same
     return out
 
 
@@ -263,7 +293,7 @@ def block_masks(blocks: int) -> list[int]:
 
 def layout(n_lines: int) -> tuple[int, int]:
     """Blocks, and how many of them deal the lines to tasks."""
-    blocks = next((b for b in range(RADIUS + 3, RADIUS + 6) if n_lines < 1 << 64 * (b - RADIUS) // b + 5), RADIUS + 6)
+    blocks = next((b for b in range(RADIUS + 3, RADIUS + 6) if n_lines < 1 << 64 * (b - RADIUS) // b + 1), RADIUS + 6)
     width = 64 / blocks
     dealing = max(1, math.ceil(math.log2(max(1, n_lines / _MEMBERS)) / width))
     return blocks, min(dealing, blocks - RADIUS)

@@ -170,7 +170,7 @@ def test_chosen_paths_reach_their_recall_in_large_nodes(spark):
 
 
 def line_key(line):
-    return re.sub(r"[\W_]+", " ", line.lower()).strip() or ("\0" + line.strip() if line.strip() else "")
+    return re.sub(r"[\W_]+", " ", line.lower()).strip(" ") or ("\0" + line.strip() if line.strip() else "")
 
 
 def expected_lines(rows):
@@ -227,11 +227,23 @@ def test_lines(spark, docs, odd, empty):
 
 
 def test_simhash_is_the_majority_of_word_hashes():
+    def mixed(word):
+        h = (len(word) + sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(word))) % (1 << 64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ h >> shift) * factor % (1 << 64)
+        return h
+
     for n in (1, 2, 3, 7, 64, 700):
-        line = b" ".join(str(R.random()).encode() for _ in range(n))
-        words = [xxhash.xxh64_intdigest(w) for w in set(line.split())]
+        line = b" ".join(str(R.random()).encode() for _ in range(n)) + b" twice twice"
+        words = [mixed(w) for w in set(line.split())]
         want = sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
-        assert lines.simhashes([b"x", line, b"y z"])[1] == want
+        assert lines.simhashes([b"x", line, b"y z", b"\0--"])[1] == want
+
+
+def test_normal_forms():
+    texts = ["Aé_É  x\n\n \t\n--\u00a0!\nÀB\u0085c\nII", "İΣ ς_a\n中 文\n***", "\x1cab²½ª\nµ×÷ÿŸ", "a\rb\x0bc\x0c"]
+    for text in texts:
+        assert lines.normalised(text) == [line_key(line).encode() for line in text.split("\n")]
 
 
 @pytest.mark.parametrize("n_lines", [10, 10**8, 10**9, 10**11])
