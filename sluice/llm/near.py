@@ -19,7 +19,6 @@ columns cannot clash.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, is_empty, materialize
-from .groups import connect, link_candidates, link_sets
+from .groups import Links, connect, link_sets
 
 WORDS = 5
 PERCENT = 75  # least 100 * |A & B| / |A | B| of a link
@@ -104,35 +103,46 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _linked(sets: list[np.ndarray]):
     """Pairs of sets at or over the threshold, enough to connect all that are."""
-    if len(sets) < 2:
+    n = len(sets)
+    if n < 2:
         return
+    links, differ, found = Links(n), set(), []
 
     def similar(x: int, y: int) -> bool:
         a, b = sets[x], sets[y]
-        n, m = len(a), len(b)
-        if 100 * min(n, m) < PERCENT * max(n, m):
+        if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
             return False
         both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= PERCENT * (n + m - both)
+        return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+    def close(a, b):
+        out = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            pair = x * n + y if x < y else y * n + x
+            if links.find(x) == links.find(y):
+                out[i] = True
+            elif pair not in differ:
+                if similar(x, y):
+                    links.join(x, y)
+                    found.append((x, y))
+                    out[i] = True
+                else:
+                    differ.add(pair)
+        return out
 
-    if len(sets) <= 8:
-        yield from link_candidates([list(range(len(sets)))], len(sets), similar)
-        return
     # each set's rarest tokens, so many that two sets at the threshold share one of them
-    tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.empty(len(tokens), np.int64)
-    order[np.argsort(df, kind="stable")] = np.arange(len(tokens))
-    buckets, at = defaultdict(list), 0
-    for x, s in enumerate(sets):
-        own = inverse[at : at + len(s)]
-        at += len(s)
-        prefix = len(s) - math.ceil(PERCENT * len(s) / 100) + 1
-        rank = order[own]
-        for t in own[np.argpartition(rank, prefix - 1)[:prefix]] if prefix < len(s) else own:
-            if df[t] > 1:
-                buckets[int(t)].append(x)
-    distinct = {tuple(b) for b in buckets.values() if len(b) > 1}
-    yield from link_candidates([list(b) for b in sorted(distinct, key=lambda b: (-len(b), b))], len(sets), similar)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.uint64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(tokens), dtype=np.uint64)
+    own = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(40), sizes) | rank[token]
+    own.sort()
+    prefix = sizes - (PERCENT * sizes + 99) // 100 + 1
+    own = own[np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(prefix, sizes)]
+    key, item = own & np.uint64((1 << 40) - 1), (own >> np.uint64(40)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    connect(key[order], item[order], np.arange(n), close)
+    yield from found
 
 
 def met(paths: int, levels: int) -> float:
@@ -264,7 +274,7 @@ def _alike(batches):
         yield sets(*rest)
 
 
-def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, max_ids: int = 1500, max_weight: int = 4_000_000, max_node: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, max_ids: int = 1500, max_weight: int = 1_000_000, max_node: int = 4096) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document."""
     sketch = materialize(sketches(docs), "sketches")
     full = sketch.where("n_shingles > 0")
