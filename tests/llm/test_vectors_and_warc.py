@@ -93,6 +93,21 @@ def test_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_round_trip_of_repeated_rows_and_rows_without_an_id(spark):
+    big = "z" * 1200
+    rows = [(3, "u", big, "", ""), (3, "u", big, "", ""), (1, "u", big, "", ""), (None, "u", big, "", ""), (None, None, None, "", "")]
+    found = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()), key=str)
+    assert found == sorted([(3, "response", None, 1200)] * 2 + [(1, "revisit", 3, 1200), (None, "response", None, 1200), (None, "response", None, 0)], key=str)
+
+
+def test_only_the_files_of_finished_tasks_are_read(spark, tmp_path):
+    folder = tmp_path / "out"
+    folder.mkdir()
+    (folder / "part-00000-stale-00007.warc.gz").write_bytes(warc.member(records(1)[0]))
+    found = warc.round_trip(spark.createDataFrame([(1, "u", "x", "", "")], PAGES), f"file://{folder}").collect()
+    assert [r.page_id for r in found] == [1]
+
+
 def records(n):
     return [warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": f"<r{i}>"}, bytes(f"payload {i} " * 200, "ascii")) for i in range(n)]
 
@@ -130,3 +145,44 @@ def test_read_reports_gaps(spark, tmp_path):
     found = warc.read_warc(spark, str(tmp_path / "*.warc.gz")).orderBy("start").collect()
     assert [r.kind for r in found] == ["record", "gap", "record", "gap"]
     assert bytes(found[0].block) == b"payload 0 " * 200
+
+
+def saved(data):
+    return [h["warc-record-id"] for kind, _, _, h, _ in warc.salvage(data) if kind == "record"]
+
+
+def test_digests_in_other_forms():
+    import base64
+
+    block = b"some bytes"
+    for name in ("sha1", "md5", "sha256"):
+        own = hashlib.new(name, block).digest()
+        for value, good in ((base64.b32encode(own).decode(), True), (own.hex().upper(), True), (base64.b32encode(own[::-1]).decode(), False)):
+            record = warc.record_bytes({"WARC-Record-ID": "<r>"}, block).replace(b"sha1:" + hashlib.sha1(block).hexdigest().encode(), f"{name}:{value}".encode())
+            assert saved(warc.member(record)) == (["<r>"] if good else [])
+    record = warc.record_bytes({"WARC-Record-ID": "<r>"}, block).replace(b"sha1:", b"crc99:")
+    assert saved(record) == ["<r>"]
+
+
+def test_salvage_inside_a_member():
+    parts = records(5)
+    damaged = bytearray(b"".join(parts))
+    damaged[len(parts[0]) + len(parts[1]) + 600] ^= 1  # inside the third record's block
+    data = warc.member(bytes(damaged))
+    found = list(warc.salvage(data))
+    assert [h["warc-record-id"] for kind, _, _, h, _ in found if kind == "record"] == ["<r0>", "<r1>", "<r3>", "<r4>"]
+    start = len(parts[0]) + len(parts[1])
+    assert [(s, e, h) for kind, s, e, h, _ in found if kind == "inner gap"] == [(0, len(data), {"start": str(start), "end": str(start + len(parts[2]))})]
+
+
+def test_salvage_of_a_member_without_an_end():
+    r = np.random.default_rng(3)
+    parts = [warc.record_bytes({"WARC-Record-ID": f"<r{i}>"}, r.integers(0, 256, 3000).astype(np.uint8).tobytes()) for i in range(5)]
+    data = warc.member(b"".join(parts))
+    cut = data[: len(data) - 2000]
+    assert saved(cut) == ["<r0>", "<r1>", "<r2>", "<r3>"]
+    assert {(s, e) for _, s, e, _, _ in warc.salvage(cut)} == {(0, len(cut))}
+    assert saved(cut[:-1500] + warc.member(parts[4])) == ["<r0>", "<r1>", "<r2>", "<r4>"]
+    broken = bytearray(data)
+    broken[-4] ^= 1  # the checksum: each record's own digest proves it
+    assert saved(bytes(broken)) == [f"<r{i}>" for i in range(5)]
