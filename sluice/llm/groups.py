@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import components, is_empty, materialize
 
 
+BROADCAST_ROWS = 500_000  # of 16 bytes
+
+
 def node_sizes(members: DataFrame) -> DataFrame:
     """node, n, weight, members (a hash of the id set) of groups with more than one id."""
     sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"))
@@ -182,7 +185,10 @@ def link_sets(sets: DataFrame, contents: DataFrame, prepare: Callable, link: Cal
     sizes = ids.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     blocks = F.greatest(F.ceil(F.col("n") / max_ids), F.ceil(F.col("w") / max_weight)).cast("long").alias("blocks")
     blocked = materialize(ids.join(sizes.select("component", blocks), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "blocked")
-    links = materialize(compare_nodes(blocked.select(F.xxhash64("component", "block").alias("node"), "id"), contents, prepare, link), "links")
+    nodes = blocked.select(F.xxhash64("component", "block").alias("node"), "id")
+    if blocked.count() <= BROADCAST_ROWS:  # so few are sent to the contents; else both are dealt by id
+        nodes = F.broadcast(nodes)
+    links = materialize(compare_nodes(nodes, contents, prepare, link), "links")
     large = blocked.where("blocks > 1")
     if is_empty(large):
         return links

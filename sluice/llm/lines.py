@@ -39,6 +39,7 @@ from .groups import Links, connect, link_sets
 RADIUS = 7
 SIMILARITY = 0.75
 _HELD = 32 << 20  # bytes of distinct lines that a task combines before it sends them on
+_SALTS = 16
 _SINGLE = 256  # words of a line that is counted by itself
 _PART = 24 << 20  # bytes of text per task that merges lines
 _MEMBERS = 1 << 21  # SimHashes that share the blocks by which they are dealt, in the mean
@@ -404,8 +405,9 @@ def repeated_lines(docs: DataFrame, max_ids: int = 2000, max_weight: int = 4_000
     groups = components(links)
     first = F.struct("doc_id", "row", "position").alias("first")
     named = materialize(lines.select(F.col("id").alias("node"), first).join(groups, "node").select("component", "first"), "repeats")
-    kept = named.groupBy("component").agg(F.min("first").alias("kept"))
-    linked = named.join(kept, "component").where("first <> kept").select("first.*")
+    kept = named.groupBy("component").agg(F.min("first").alias("kept")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    named = named.withColumn("salt", F.pmod(F.hash("first"), F.lit(_SALTS)))  # a large group's lines are looked up in several tasks
+    linked = named.join(kept, ["component", "salt"]).where("first <> kept").select("first.*")
     return found.where("id is null").select("doc_id", "row", "position").unionByName(linked)
 
 

@@ -93,7 +93,7 @@ def _member(data: bytes, start: int) -> tuple[bytes, int | None, bool]:
             out.append(unpack.decompress(step))
         except zlib.error:
             size = 1024
-            while size:  # as far as it goes, in ever smaller steps
+            while size and len(step):  # as far as it goes, in ever smaller steps
                 last = before.copy()
                 try:
                     out.append(before.decompress(step[:size]))
