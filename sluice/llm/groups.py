@@ -1,15 +1,15 @@
 """Exhaustive comparison inside many small groups of rows that may overlap, without all pairs.
 
-A group (node) is a set of ids. Groups that hold the same ids are compared once; groups beyond
-a stated size are cut into blocks, and each pair of blocks is a group of its own, so no task
-holds more than two blocks and no pair of ids goes uncompared. Inside a group, ids that are
+Sets of ids that overlap are one group and are compared together, each content being read once. A group beyond
+a stated size is cut into blocks, and what is still apart after these is compared by pairs of blocks, so no task
+holds more than two blocks and no pair of ids goes uncompared. Ids that are
 already connected are not compared again, so a group of n copies takes about n comparisons
-and yields at most n - 1 links. Sets of ids that overlap are compared together (``link_sets``).
+and yields at most n - 1 links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +22,6 @@ from .common import components, is_empty, materialize
 BROADCAST_ROWS = 500_000  # of 16 bytes
 
 
-def node_sizes(members: DataFrame) -> DataFrame:
-    """node, n, weight, members (a hash of the id set) of groups with more than one id."""
-    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"))
-    return sizes.where("n > 1")
-
-
-def bounded_nodes(members: DataFrame, max_ids: int, max_weight: int) -> DataFrame:
-    """``node, id`` of distinct groups of two ids or more, none over about the two limits."""
-    members = materialize(members, "members")
-    sizes = node_sizes(members)
-    sizes = sizes.groupBy("n", "weight", "members").agg(F.min("node").alias("node"))
-    per_block = F.greatest(F.ceil(2 * F.col("n") / max_ids), F.ceil(2 * F.col("weight") / max_weight))
-    sizes = sizes.select("node", F.when((F.col("n") > max_ids) | (F.col("weight") > max_weight), per_block).otherwise(1).cast("int").alias("blocks"))
-    found = materialize(members.join(sizes, "node").select("node", "id", "blocks"), "nodes")
-    small = found.where("blocks = 1").select("node", "id")
-    large = found.where("blocks > 1")
-    if is_empty(large):
-        return small
-    block = F.pmod(F.xxhash64("node", "id"), F.col("blocks"))
-    pairs = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    return small.unionByName(pairs.select(pair.alias("node"), "id"))
-
-
 class Links:
     """Union-find over positions in a group."""
 
@@ -63,33 +39,6 @@ class Links:
         self.parent[self.find(y)] = self.find(x)
 
 
-def link_candidates(buckets: list[list[int]], n: int, similar: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
-    """Links that connect what ``similar`` connects, among pairs that meet in a bucket.
-
-    Within a bucket each position is held against one connected group after another, and
-    leaves a group at its first link to it.
-    """
-    links, differ = Links(n), set()
-    for bucket in buckets:
-        groups: dict[int, list[int]] = {}
-        for x in bucket:
-            groups.setdefault(links.find(x), []).append(x)
-        if len(groups) < 2:
-            continue
-        done: list[list[int]] = []
-        for group in groups.values():
-            touching, apart = [group], []
-            for other in done:
-                hit = next(((x, y) for x in group for y in other if (min(x, y), max(x, y)) not in differ and (similar(x, y) or differ.add((min(x, y), max(x, y))))), None)
-                if hit:
-                    links.join(*hit)
-                    touching.append(other)
-                    yield hit
-                else:
-                    apart.append(other)
-            done = [*apart, [x for g in touching for x in g]]
-
-
 def compare_nodes(nodes: DataFrame, contents: DataFrame, prepare: Callable, link: Callable) -> DataFrame:
     """Links ``a, b`` found in groups.
 

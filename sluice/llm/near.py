@@ -22,12 +22,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, is_empty, materialize
 from .groups import Links, connect, link_sets
+from .lines import word_hashes
 
 WORDS = 5
 PERCENT = 75  # least 100 * |A & B| / |A | B| of a link
@@ -36,41 +38,52 @@ SPREAD = 16  # a node that branches chooses each function with probability 1 / S
 _RNG = np.random.default_rng(20_24)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
+_STEP = 4 << 20  # bytes of text that are cut into words at a time, beside one text
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Words(dict):
-    """Hashes of words; a memory of bounded size."""
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each text's distinct shingles. Letters beyond ASCII keep their case, and only ASCII white space divides, as asked."""
+    found: list[np.ndarray] = []
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.searchsorted(sizes, np.arange(_STEP, int(sizes[-1]) if len(sizes) else 0, _STEP)) + 1
+    borders = sorted({0, *cuts.tolist(), len(texts)})
+    for a, z in zip(borders, borders[1:], strict=False):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(a, z - a), "").cast(pa.large_string())))
+        words = split.flatten()
+        words = words.dictionary_encode()
+        h = word_hashes(words.dictionary)[words.indices.to_numpy()]
+        filled = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[words.indices.to_numpy()] if len(words) else np.zeros(0, bool)
+        ends = np.append(0, np.cumsum(filled))[split.offsets.to_numpy() - split.offsets[0].as_py()]  # white space at a text's ends makes empty words
+        h = h[filled]
+        last = max(0, len(h) - WORDS + 1)
+        runs = np.zeros(last, np.uint64)
+        for i in range(WORDS):
+            runs += h[i : i + last] * _PLACE[i]
+        runs = _mixed(runs)
+        for first, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            n = end - first
+            if n >= WORDS:
+                s = np.sort(runs[first : end - WORDS + 1])
+                keep = np.empty(len(s), bool)
+                keep[0] = True
+                np.not_equal(s[1:], s[:-1], out=keep[1:])
+                found.append(s[keep])
+            elif n:
+                with np.errstate(over="ignore"):
+                    found.append(_mixed((h[first:end] * _PLACE[:n]).sum(keepdims=True) + np.uint64(n)))
+            else:
+                found.append(np.zeros(0, np.uint64))
+    return found
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
-
-_WORDS = _Words()
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct shingles. bytes.split and bytes.lower are ASCII only, as asked."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if n < WORDS:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)] if n else [], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    last = n - WORDS + 1
-    s = h[:last] * _PLACE[0]
-    for i in range(1, WORDS):
-        s += h[i : i + last] * _PLACE[i]
-    s ^= s >> np.uint64(31)
-    s *= np.uint64(0x9E3779B97F4A7C15)
-    s ^= s >> np.uint64(29)
-    s.sort()
-    keep = np.empty(last, bool)
-    keep[0] = True
-    np.not_equal(s[1:], s[:-1], out=keep[1:])
-    return s[keep]
+def _mixed(s: np.ndarray) -> np.ndarray:
+    s = (s ^ s >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return s ^ s >> np.uint64(29)
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
@@ -87,8 +100,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, digests, signatures, bytes_ = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
+            for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(minwise(s) if len(s) else None)

@@ -415,23 +415,32 @@ def test_gradients():
         assert slope == pytest.approx(float(g[k][i]), rel=0.1)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
-    found = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     low = reachable(300, edges)
     assert found == {i: low[i] for i in range(300) if any(i in e and e[0] != e[1] for e in edges)}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([], "a long, b long"), small=small).collect() == []
 
 
-def test_blocks_meet_all_pairs(spark):
-    members = spark.createDataFrame([("n", i, 1) for i in range(23)] + [("m", i, 1) for i in range(3)] + [("same", i, 1) for i in range(3)], "node string, id long, weight long")
-    nodes = {}
-    for r in groups.bounded_nodes(members.selectExpr("xxhash64(node) as node", "id", "weight"), 6, 1000).collect():
-        nodes.setdefault(r.node, set()).add(r.id)
-    met = {(a, b) for ids in nodes.values() for a in ids for b in ids if a < b}
-    assert met == {(a, b) for a in range(23) for b in range(a + 1, 23)}
-    assert max(map(len, nodes.values())) < 14
+@pytest.mark.parametrize("max_ids,max_weight", [(1000, 1000), (6, 1000), (4, 9), (2, 1000)])
+def test_links_connect_all_that_share_a_set(spark, max_ids, max_weight):
+    """Numbers less than 5 apart are linked if a set has both."""
+    r = random.Random(max_ids)
+    sets = {s: r.sample(range(400), r.choice([2, 3, 9, 40])) for s in range(25)} | {100: list(range(500, 560)), 101: [500, *range(520, 590, 3)], 102: [900, 901]}
+    rows = [(s, i, min(ids), 1 + i % 3) for s, ids in sets.items() for i in ids]
+
+    def link(items):
+        yield from ((x, y) for x in range(len(items)) for y in range(x) if abs(items[x] - items[y]) < 5)
+
+    contents = spark.range(1000).selectExpr("id", "id as content")
+    found = groups.link_sets(spark.createDataFrame(rows, "node long, id long, root long, weight long"), contents, int, link, max_ids, max_weight).collect()
+    pairs = [(a, b) for ids in sets.values() for a in ids for b in ids if b < a < b + 5]
+    assert all(abs(x.a - x.b) < 5 for x in found)
+    low = reachable(1000, [(x.a, x.b) for x in found])
+    assert pairs and all(low[a] == low[b] for a, b in pairs)
 
 
 def test_packing_fills_windows_with_the_best_neighbours(spark):
