@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 WHOLE = "*"
 BAR = "|"
-_NULL = "\x00"
 # Fixed values of version 1 of the basis digest; the separator is these four characters, not one byte.
 BASIS_SEPARATOR = "\\x1F"
 BASIS_VERSION = 1
@@ -27,9 +26,21 @@ def key_of(columns: Iterable[Column | str], prefix: str | None = None) -> Column
     return F.concat_ws(BAR, *([F.lit(prefix)] if prefix else []), *parts)
 
 
-def unit_of(columns: Iterable[Column | str]) -> Column:
-    """Like a key, but null and the empty string differ."""
-    return F.concat_ws(BAR, *(F.coalesce(_text(c), F.lit(_NULL)) for c in columns))
+def identity_of(columns: Iterable[Column | str], prefix: str | None = None) -> Column:
+    """The hidden key and unit: like ``key_of``, but different values never have the same one.
+
+    Null is a backslash and N, a backslash is doubled, and a bar inside one of several values has a backslash before it.
+    """
+    columns = list(columns)
+    marks = r"([\\|])" if len(columns) > 1 else r"(\\)"
+    parts = [F.coalesce(F.regexp_replace(_text(c), marks, r"\\$1"), F.lit("\\N")) for c in columns]
+    return F.concat_ws(BAR, *([F.lit(prefix)] if prefix else []), *parts)
+
+
+def first_segment(key: Column) -> Column:
+    """The first value of a hidden key."""
+    head = F.regexp_extract(key, r"^((?:[^\\|]|\\.)*)", 1)
+    return F.when(head != "\\N", F.regexp_replace(head, r"\\(.)", "$1"))
 
 
 def fingerprint(fields: Iterable[str] | Callable[[], Column] | None) -> Column | None:
@@ -43,9 +54,13 @@ def fingerprint(fields: Iterable[str] | Callable[[], Column] | None) -> Column |
 
 
 def basis_column(fields: list[str]) -> Column:
-    """Aggregate: the versioned digest of a set of rows, whatever their order."""
-    row = F.array_join(F.array(*(F.coalesce(_text(f), F.lit("")) for f in fields)), BASIS_SEPARATOR)
-    return F.concat(F.lit(f"{BASIS_VERSION}:"), F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256))
+    """Aggregate: the versioned digest of a set of rows, whatever their order.
+
+    Rows are sorted as lists of fields, not as joined strings. This version digests them all in one piece, so a group's rows must fit in a task.
+    """
+    rows = F.sort_array(F.collect_list(F.array(*(F.coalesce(_text(f), F.lit("")) for f in fields))))
+    lines = F.transform(rows, lambda row: F.array_join(row, BASIS_SEPARATOR))
+    return F.concat(F.lit(f"{BASIS_VERSION}:"), F.sha2(F.array_join(lines, "\n"), 256))
 
 
 def basis(rows: Iterable[Mapping] | DataFrame, fields: list[str], version: int = BASIS_VERSION) -> str:

@@ -54,16 +54,16 @@ def key_count(engine, cell: str) -> int:
     return engine.rows(cell).count()
 
 
-def keys_by_status(engine, cell: str, statuses: Iterable[str | None], limit: int | None = None) -> list[str]:
-    """Sorted keys of rows with one of the statuses, null among them if asked for."""
+def keys_by_status(engine, cell: str, statuses: Iterable[str | None], limit: int | None = None) -> DataFrame:
+    """Sorted keys (column ``key``) of rows with one of the statuses, null among them if asked for."""
     statuses = list(statuses)
     rows = engine.rows(cell)
     if not statuses or "status" not in engine.node(cell).names:
-        return []
+        return rows.where(F.lit(False)).select(F.col(KEY).alias("key"))
     named = [s for s in statuses if s is not None]
     wanted = F.col("status").isin(named) if named else F.lit(False)
-    rows = rows.where(wanted | F.col("status").isNull() if None in statuses else wanted).select(KEY).orderBy(KEY)
-    return [r[0] for r in (rows.limit(limit) if limit else rows).collect()]
+    rows = rows.where(wanted | F.col("status").isNull() if None in statuses else wanted).select(F.col(KEY).alias("key")).orderBy("key")
+    return rows.limit(limit) if limit else rows
 
 
 def keys_where(engine, cell: str, limit: int | None = None, **equal) -> DataFrame:
@@ -78,7 +78,7 @@ def keys_where(engine, cell: str, limit: int | None = None, **equal) -> DataFram
 def verdict_for(engine, cell: str, sample: int = 5) -> Verdict:
     """A cell's verdict, with the first failing keys."""
     histogram = {r.status: r.n for r in status_histogram(engine.rows(cell)).collect()}
-    return rollup(histogram, keys_by_status(engine, cell, FAILING, sample))
+    return rollup(histogram, [r.key for r in keys_by_status(engine, cell, FAILING, sample).collect()])
 
 
 def levels(plan) -> list[list[str]]:
@@ -100,7 +100,7 @@ def cell_status(engine, cell: str, sample: int = 10) -> dict:
         return out | {"rows": "elsewhere"}
     try:
         histogram = {r.status: r.n for r in status_histogram(engine.rows(cell)).collect()}
-        failing = keys_by_status(engine, cell, FAILING, sample)
+        failing = [r.key for r in keys_by_status(engine, cell, FAILING, sample).collect()]
     except Exception as e:  # noqa: BLE001 - a status page shows what it can
         return out | {"rows": "unreadable", "error": str(e)[:200]}
     return out | {"rows": "stored", "count": sum(histogram.values()), "histogram": histogram, "verdict": rollup(histogram, failing)}

@@ -82,7 +82,7 @@ def sweep(engine, every=None, around_poll: Callable | None = None, runs=None, **
     """Refresh all sources (of one cadence, if given), then drain once, under the lock; ("busy", None) if it is held."""
     wanted = [c for c in scanners(engine.plan) if every is None or engine.node(c).poll.every == every]
     try:
-        with engine.store.lock("sweep"):
+        with engine.store.lock():
             results = {}
             for c in wanted:
                 with around_poll(c) if around_poll else nullcontext():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import Bucket, bounds, bucket_of_key_column, parse
-from ..functions.keys import BAR, fingerprint, key_of, unit_of
+from ..functions.keys import BAR, fingerprint, first_segment, identity_of
 from ..plans.model import Aggregate, CellFailed, Join, Node, NodeError, PerKey, Reduce, Union, fold_items, group_items, picks
 from ..runtime.store import KEY, UNIT
 
@@ -92,16 +92,21 @@ def group_exprs(node: Node, c: Reduce) -> list[tuple[str, Column]]:
     items = group_items(c.group_by)
     if by and by.from_key:
         kind = by.from_key
-        head = bucket_of_key_column(kind, F.col(KEY)) if isinstance(kind, str) else F.split_part(F.col(KEY), F.lit(BAR), F.lit(1))
+        head = bucket_of_key_column(kind, F.col(KEY)) if isinstance(kind, str) else first_segment(F.col(KEY))
         return [(items[0][0], head)]
     return [(dest, column_of(source)) for dest, source in items]
 
 
-def fold_column(kind: str, source: str | None) -> Column:
+def key_order(node: Node) -> Column:
+    """The order of a node's rows: by the values of their identity, not by their text."""
+    return F.struct(*node.primary_key) if node.primary_key and node.columns is not None else F.col(KEY)
+
+
+def fold_column(kind: str, source: str | None, order: Column) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
     if kind == "first":  # in the order of the input's keys, nulls left out
-        return F.min_by(source, F.when(F.col(source).isNotNull(), F.col(KEY)))
+        return F.min_by(source, F.when(F.col(source).isNotNull(), order))
     return getattr(F, kind)(source)
 
 
@@ -111,10 +116,10 @@ def keyed(node: Node, rows: DataFrame, group: list[str], prefix: str | None = No
     if key is not None:
         return rows.withColumn(KEY, key().cast("string")).withColumn(pk[0], F.col(KEY))
     if all(k in rows.columns for k in pk) and not prefix:
-        return rows.withColumn(KEY, key_of(pk))
+        return rows.withColumn(KEY, identity_of(pk))
     if len(pk) != 1:
         raise NodeError(f"{node.id!r}: identity column {next(k for k in pk if k not in rows.columns)!r} is not produced")
-    return rows.withColumn(KEY, key_of(group, prefix)).withColumn(pk[0], F.col(KEY))
+    return rows.withColumn(KEY, identity_of(group, prefix)).withColumn(pk[0], F.col(KEY))
 
 
 def reduce_rows(ctx: Context, c: Reduce) -> Produced:
@@ -125,7 +130,7 @@ def reduce_rows(ctx: Context, c: Reduce) -> Produced:
     if len(exprs) == 1 and not (node.recompute_by and node.recompute_by.from_key):
         calculation = source.calculations.get(group_items(c.group_by)[0][1])
         hull = (calculation.kind, calculation.column) if isinstance(calculation, Bucket) else None
-    rows = ctx.input(c.over, c.read, c.query, unit_of([e for _, e in exprs]), hull)
+    rows = ctx.input(c.over, c.read, c.query, identity_of([e for _, e in exprs]), hull)
     names = [f"__g{i}" for i in range(len(exprs))]
     rows = rows.withColumns({n: e for n, (_, e) in zip(names, exprs, strict=True)})
     dests = [d for d, _ in exprs]
@@ -137,9 +142,9 @@ def reduce_rows(ctx: Context, c: Reduce) -> Produced:
         missing = [k for k in [*node.primary_key, *dests] if k not in made.columns]
         if missing:
             raise NodeError(f"{node.id!r}: expand made rows without {missing[0]!r}")
-        made = made.withColumn(KEY, key_of(node.primary_key, c.key_prefix)).withColumn(UNIT, unit_of(dests))
+        made = made.withColumn(KEY, identity_of(node.primary_key, c.key_prefix)).withColumn(UNIT, identity_of(dests))
         return Produced(made, [x for x in made.columns if x in node.names])
-    folds = [e.alias(n) for n, e in c.into().items()] if c.into else [fold_column(k, s).alias(d) for k, s, d in fold_items(c.folds)]
+    folds = [e.alias(n) for n, e in c.into().items()] if c.into else [fold_column(k, s, key_order(source)).alias(d) for k, s, d in fold_items(c.folds)]
     made = rows.groupBy(UNIT, *names).agg(*folds).withColumnsRenamed(dict(zip(names, dests, strict=True)))
     made = keyed(node, made, dests, c.key_prefix, c.key)
     return Produced(made, [x for x in made.columns if x in node.names])
@@ -159,10 +164,10 @@ def join_rows(ctx: Context, c: Join) -> Produced:
     node = ctx.node
 
     def side_rows(side, name):
-        rows = on_side(ctx.input(name, c.read, c.query), side).withColumn("__jk", join_key(side)).withColumn(UNIT, unit_of([F.col("__jk")]))
+        rows = on_side(ctx.input(name, c.read, c.query), side).withColumn("__jk", join_key(side)).withColumn(UNIT, identity_of([F.col("__jk")]))
         # of rows with one side key the last in key order counts
         kept = [x for x in rows.columns if x not in (UNIT, KEY)]
-        return ctx.claims.scope(rows).groupBy(UNIT).agg(F.max_by(F.struct(*kept), KEY).alias("r"))
+        return ctx.claims.scope(rows).groupBy(UNIT).agg(F.max_by(F.struct(*kept), key_order(ctx.engine.node(name))).alias("r"))
 
     left, right = side_rows(c.left, c.left_over or c.over), side_rows(c.right, c.right_over or c.over)
     both = left.withColumnRenamed("r", "l").join(right, UNIT, "full" if c.outer else "left")
@@ -194,9 +199,9 @@ def union_rows(ctx: Context, c: Union) -> Produced:
 def aggregate_rows(ctx: Context, c: Aggregate) -> Produced:
     keys = [c.key] if isinstance(c.key, str) else list(c.key)
     own = ctx.claims.scope(ctx.engine.rows(ctx.cell).select(KEY, F.col(KEY).alias(UNIT)))
-    child = ctx.claims.scope(ctx.input(c.over).withColumn(UNIT, key_of(keys)))
+    child = ctx.claims.scope(ctx.input(c.over).withColumn(UNIT, identity_of(keys)))
     folds = fold_items(c.folds)
-    sums = child.groupBy(UNIT).agg(*(fold_column(k, s).alias(d) for k, s, d in folds))
+    sums = child.groupBy(UNIT).agg(*(fold_column(k, s, key_order(ctx.engine.node(c.over))).alias(d) for k, s, d in folds))
     rows = own.join(sums, UNIT, "left").withColumns({d: F.coalesce(d, F.lit(0).cast("long")) for k, _, d in folds if k == "count"})
     return Produced(rows, [d for _, _, d in folds])
 
@@ -205,7 +210,11 @@ def per_key_rows(ctx: Context, c: PerKey) -> Produced:
     node, engine = ctx.node, ctx.engine
     attribute = c.fingerprint_attribute or "fingerprint"
     wanted = fingerprint(c.fingerprint) if c.fingerprint is not None else None
-    rows = ctx.input(c.over or engine.inputs(ctx.cell)[0], unit=F.col(KEY))
+    over = c.over or engine.inputs(ctx.cell)[0]
+    rows = ctx.input(over, unit=F.col(KEY))
+    pk = identity_columns(node, engine.node(over))
+    rows = rows.withColumns({f"__pk{i}": e for i, e in enumerate(pk)})
+    own = [f"__pk{i}" for i in range(len(pk))]
     rows = rows.withColumn("__want", wanted if wanted is not None else F.lit(None).cast("string"))
     if wanted is not None:
         stored = engine.rows(ctx.cell).select(KEY, F.col(attribute).alias("__stored"))
@@ -214,34 +223,70 @@ def per_key_rows(ctx: Context, c: PerKey) -> Produced:
         rows = rows.withColumn("__call", F.lit(True))
     called, skipped = rows.agg(F.count_if("__call"), F.count_if(~F.col("__call"))).first()
     calls = rows.where("__call")
-    sources = c.args or {n: n for n in engine.node(c.over or engine.inputs(ctx.cell)[0]).names}
+    sources = c.args or {n: n for n in engine.node(over).names}
     if c.returns:
-        made = _call_pandas(calls.select(KEY, "__want", *(F.col(s).alias(a) for a, s in sources.items())), c)
+        made = _call_pandas(calls.select(KEY, "__want", *own, *(F.col(s).alias(a) for a, s in sources.items())), c)
     else:
         made = calls.withColumns({f"__r_{n}": e for n, e in c.action(**{a: F.col(s) for a, s in sources.items()}).items()})
-        made = made.select(KEY, "__want", *(F.col(x).alias(x.removeprefix("__r_")) for x in made.columns if x.startswith("__r_")))
-    into = dict(c.into) if c.into else {x: x for x in made.columns if x not in (KEY, "__want") and x in node.names}
-    made = made.select(KEY, F.col(KEY).alias(UNIT), *(F.col(s).alias(d) for d, s in into.items()), *([F.col("__want").alias(attribute)] if wanted is not None else []), F.lit(False).alias(SKIP))
-    left_alone = rows.where(~F.col("__call")).select(KEY, F.col(KEY).alias(UNIT), F.lit(True).alias(SKIP))
+        made = made.select(KEY, "__want", *own, *(F.col(x).alias(x.removeprefix("__r_")) for x in made.columns if x.startswith("__r_")))
+    into = dict(c.into) if c.into else {x: x for x in made.columns if x not in (KEY, "__want", *own) and x in node.names}
+    made = made.select(KEY, *own, F.col(KEY).alias(UNIT), *(F.col(s).alias(d) for d, s in into.items()), *([F.col("__want").alias(attribute)] if wanted is not None else []), F.lit(False).alias(SKIP))
+    left_alone = rows.where(~F.col("__call")).select(KEY, *own, F.col(KEY).alias(UNIT), F.lit(True).alias(SKIP))
     made = made.unionByName(left_alone, allowMissingColumns=True)
-    pk = list(node.primary_key)
-    parts = {k: (F.split(F.col(KEY), r"\|").getItem(i) if len(pk) > 1 else F.col(KEY)).cast(node.schema[k].dataType) for i, k in enumerate(pk)}
-    made = made.withColumns({k: e for k, e in parts.items() if k not in made.columns})
+    made = made.withColumns({k: F.col(o).cast(node.schema[k].dataType) for k, o in zip(node.primary_key, own, strict=True) if k not in made.columns})
     return Produced(made, [x for x in made.columns if x in node.names], forced=True, meta={"called": called, "skipped": skipped})
 
 
+def identity_columns(node: Node, source: Node) -> list[Column]:
+    """The input's identity, column for column, or its key where the node has a single one of its own."""
+    if len(node.primary_key) == len(source.primary_key):
+        return [F.col(k) for k in source.primary_key]
+    if len(node.primary_key) == 1:
+        return [F.col(KEY)]
+    raise NodeError(f"{node.id!r}: has {len(node.primary_key)} identity columns, its input {source.id!r} has {len(source.primary_key)}")
+
+
 def _call_pandas(rows: DataFrame, c: PerKey) -> DataFrame:
-    """The action on batches of arguments, on at most ``max_concurrency`` tasks at once; too slow a batch fails the job."""
-    schema = T.StructType([rows.schema[KEY], rows.schema["__want"], *T._parse_datatype_string(c.returns)])
-    action, limit = c.action, c.timeout
+    """The action on batches of arguments, on at most ``max_concurrency`` tasks at once.
+
+    With a timeout each call has one row, and a call that takes longer fails the job at once.
+    """
+    own = [f for f in rows.schema if f.name in (KEY, "__want") or f.name.startswith("__pk")]
+    schema = T.StructType([*own, *T._parse_datatype_string(c.returns)])
+    names, action, limit = [f.name for f in own], c.action, c.timeout
+
+    def call(args):
+        if limit is None:
+            return action(args)
+        import threading
+
+        done: list = []
+
+        def work():
+            try:
+                done.append((action(args), None))
+            except Exception as e:
+                done.append((None, e))
+
+        thread = threading.Thread(target=work, daemon=True)  # one that hangs dies with the worker
+        thread.start()
+        thread.join(limit)
+        if not done:
+            raise TimeoutError(f"a call took longer than {limit} seconds")
+        if done[0][1]:
+            raise done[0][1]
+        return done[0][0]
 
     def run(batches):
-        from concurrent.futures import ThreadPoolExecutor
+        import pandas as pd
 
         for pdf in batches:
-            with ThreadPoolExecutor(1) as pool:
-                made = pool.submit(action, pdf.drop(columns=[KEY, "__want"])).result(limit)
-            yield made.assign(**{KEY: pdf[KEY].to_numpy(), "__want": pdf["__want"].to_numpy()})[schema.names]
+            args = pdf.drop(columns=names)
+            if limit is None:
+                made = call(args)
+            else:
+                made = pd.concat([call(args.iloc[i : i + 1]) for i in range(len(args))], ignore_index=True) if len(args) else call(args)
+            yield made.assign(**{n: pdf[n].to_numpy() for n in names})[schema.names]
 
     return rows.repartition(c.max_concurrency).mapInPandas(run, schema)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,9 @@ def query(sql: str | None, name: str | None = None):
 
 def state_root(spark: SparkSession) -> str:
     """A new state folder under the shared folder that the cluster names, or a local one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     return f"{shared.rstrip('/')}/state-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="sluice-state-")
 
 
@@ -582,7 +585,7 @@ def verdict(spark, sf_dir):
     return _month_health(spark, sf_dir).table("months").agg(*verdict_columns())
 
 
-@query("""select n_regionkey, '1:' || sha256(string_agg(cast(n_nationkey as varchar) || '\\x1F' || n_name, chr(10) order by cast(n_nationkey as varchar) || '\\x1F' || n_name)) as digest
+@query("""select n_regionkey, '1:' || sha256(array_to_string(list_transform(list_sort(list([cast(n_nationkey as varchar), n_name])), r -> r[1] || '\\x1F' || r[2]), chr(10))) as digest
   from nation group by 1""")
 def basis_digest(spark, sf_dir):
     leaf = Node("nations", "n_nationkey int, n_name string, n_regionkey int", ("n_nationkey",), leaf=True)
@@ -593,6 +596,81 @@ def basis_digest(spark, sf_dir):
     return engine.table("per")
 
 
+#: pairs whose values, joined by bars, are the same, and pairs with null, empty and marked values
+_PAIRS_SQL = """(select n_name || '|x' as a, 'y' as b, cast(n_nationkey as bigint) as n from nation
+  union all select n_name, 'x|y', n_nationkey + 100 from nation
+  union all select null, n_name, n_nationkey + 200 from nation union all select '', n_name, n_nationkey + 300 from nation
+  union all select '\\N', n_name, n_nationkey + 400 from nation union all select n_name || '\\', '|', n_nationkey + 500 from nation)"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    nation = load(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("n"))
+    name, none = F.col("n_name"), F.lit(None).cast("string")
+    parts = [(F.concat(name, F.lit("|x")), F.lit("y")), (name, F.lit("x|y")), (none, name), (F.lit(""), name), (F.lit("\\N"), name), (F.concat(name, F.lit("\\")), F.lit("|"))]
+    frames = [nation.select(a.alias("a"), b.alias("b"), (F.col("n") + 100 * i).alias("n")) for i, (a, b) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, frames)
+
+
+_PAIR_LEAF = Node("pairs", "a string, b string, n long", ("a", "b"), leaf=True)
+
+
+def _on_pairs(spark, sf_dir, *nodes: Node) -> DataFrame:
+    """Pairs written one kind after the other, then all again with the larger half raised by one and withdrawn."""
+    engine = engine_of(spark, _PAIR_LEAF, *nodes)
+    pairs = _pairs(spark, sf_dir)
+    for odd in (0, 1):
+        engine.write("pairs", pairs.where(F.col("n") % 2 == odd))
+        engine.drain()
+    engine.write("pairs", pairs.withColumn("n", F.col("n") + 1))
+    engine.drain()
+    engine.write("pairs", pairs)
+    engine.drain()
+    return engine.table(nodes[-1].id if nodes else "pairs")
+
+
+@query(f"select a, b, n from {_PAIRS_SQL}")
+def keys_with_bars(spark, sf_dir):
+    return _on_pairs(spark, sf_dir)
+
+
+@query(f"select a, count(*) as n, cast(sum(n) as bigint) as total from {_PAIRS_SQL} group by a")
+def keys_with_nulls(spark, sf_dir):
+    return _on_pairs(spark, sf_dir, Node("per", "a string, n long, total long", ("a",), Reduce("pairs", "a", {"count": "n", "sum": {"n": "total"}})))
+
+
+@query(f"select a, b, n, n * 2 as twice from {_PAIRS_SQL}")
+def per_key_composite(spark, sf_dir):
+    call = PerKey(lambda n: {"twice": n * 2, "n": n}, over="pairs", args={"n": "n"})
+    return _on_pairs(spark, sf_dir, Node("doubles", "a string, b string, n long, twice long", ("a", "b"), call)).select("a", "b", "n", "twice")
+
+
+@query(f"select o_orderkey, cents + 7 as cents from {ORDERS_SQL}")
+def write_same_key_twice(spark, sf_dir):
+    """Each key comes twice in one write; the later one by ``v`` counts."""
+    engine = engine_of(spark, ORDER_LEAF)
+    rows = orders(spark, sf_dir).where(F.col("o_orderkey") % 13 != 0).withColumn("cents", F.col("cents") + F.when(F.col("o_orderkey") % 7 == 0, 1000).otherwise(0))
+    first, last = rows.withColumn("v", F.lit(1)), rows.withColumn("cents", F.col("cents") + 7).withColumn("v", F.lit(2))
+    engine.write("orders", last.unionByName(first), order="v")
+    return engine.table("orders").select("o_orderkey", "cents")
+
+
+@query(f"select o_custkey, count(*) as n, cast(sum(cents) as bigint) as cents from {ORDERS_SQL} group by 1")
+def two_writers(spark, sf_dir):
+    """Two engines on one state, each with a copy of it that the other's commits make old."""
+    node = Node("customers", "o_custkey long, n long, cents long", ("o_custkey",), Reduce("orders", "o_custkey", {"count": "n", "sum": ["cents"]}))
+    root = state_root(spark)
+    one, two = (Engine(spark, [ORDER_LEAF, node], root, trace=0) for _ in range(2))
+    rows = orders(spark, sf_dir)
+    one.write("orders", rows.where(F.col("o_orderkey") % 2 == 0))
+    two.write("orders", rows.where(F.col("o_orderkey") % 2 == 1))
+    one.drain()
+    raised = rows.where(F.col("o_orderkey") % 7 == 0).withColumn("cents", F.col("cents") + 1000)
+    two.write("orders", raised, rows.where(F.col("o_orderkey") % 13 == 0).select("o_orderkey"))
+    one.write("orders", raised.where(F.col("o_orderkey") % 13 != 0))  # not moved
+    two.drain()
+    return one.table("customers")
+
+
 @query("""select s_suppkey, sha256('{"f0":' || cast(s_suppkey as varchar) || ',"f1":"' || s_name || '"}') as print from supplier""")
 def fingerprint_fields(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", fingerprint(["s_suppkey", "s_name"]).alias("print"))

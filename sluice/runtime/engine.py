@@ -8,24 +8,26 @@ from one unit to another, or was deleted, dirties exactly the units concerned.
 
 from __future__ import annotations
 
+import copy
 import logging
 import time
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import BAR, WHOLE, fingerprint, key_of, unit_of
+from ..functions.keys import BAR, WHOLE, fingerprint, identity_of
 from ..operators.produce import Claims, Context, Produced, group_exprs, join_key, on_side, produce, with_calculations
 from ..plans.graph import graph
 from ..plans.model import CELL, Aggregate, CellFailed, Join, Node, NodeError, PerKey, Plan, Reduce, Union
 from .diff import diff, lapse_units, moved_since, watched
 from .report import Events, Report, Step
-from .store import BEFORE, HIDDEN, KEY, OP, UNIT, Store
+from .store import BEFORE, HIDDEN, KEY, OP, UNIT, Busy, Store, rebased
 
 log = logging.getLogger(__name__)
+DIFFER = "rows that differ have the key "
 REPORTED = ("created", "changed", "retired")
 
 
@@ -51,8 +53,7 @@ class Engine:
         self.store = Store(spark, root, self.tenant)
         self.trace, self.escalate_whole, self.key_rule = trace, escalate_whole, key_rule
         self.events = Events()
-        self.pending_drain = False
-        self.on_schedule = None
+        self.on_schedule, self.running = None, None
 
     # -- reading --
 
@@ -78,6 +79,7 @@ class Engine:
         return self.store.rows(self.owner(cell), node.schema)
 
     def table(self, cell: str) -> DataFrame:
+        self.store.refresh()
         return self.rows(cell).select(self.node(cell).names)
 
     # -- the dirty set --
@@ -93,11 +95,14 @@ class Engine:
 
     def mark(self, cell: str, keys: str | Iterable[str] | DataFrame = WHOLE, reason: str = "") -> None:
         """Dirty a cell: wholly, or by keys (strings, or a DataFrame with a column ``key``). No keys: nothing happens."""
-        draft = self.store.draft()
+        self.store.refresh()
+        base, draft = self.store.state, self.store.draft()
         if self._mark_keys(draft, cell, cell, keys, reason):
-            self.store.commit(draft)
+            self.store.commit(draft, base)
 
     def _mark_keys(self, draft: dict, cell: str, source: str, keys, reason: str = "") -> bool:
+        if cell == self.running:  # what a cell marks of itself while it runs is taken up with its claim
+            return False
         if isinstance(keys, DataFrame):
             frame = keys.select(F.col("key").cast("string").alias(KEY)).distinct()
         else:
@@ -115,15 +120,23 @@ class Engine:
 
     def mark_parents(self, cell: str, keys: str | Iterable[str] | DataFrame = WHOLE) -> list[str]:
         """Dirty a cell's consumers as if its ``keys`` had changed; returns the consumers."""
-        draft = self.store.draft()
+        self.store.refresh()
+        base, draft = self.store.state, self.store.draft()
         parents = self.plan.parents.get(cell, ())
         hit = [p for p in parents if self._mark_keys(draft, p, cell, keys)]
         if hit:
-            self.store.commit(draft)
+            self.store.commit(draft, base)
         return hit
 
+    @property
+    def pending_drain(self) -> bool:
+        """Whether a write has asked for a drain that has not begun; part of the write's commit."""
+        self.store.refresh()
+        return bool(self.store.state.get("scheduled"))
+
     def dirty_cells(self) -> list[str]:
         """Dirty cells, the shallowest first, those unknown to the plan last."""
+        self.store.refresh()
         depth = lambda c: (c not in self.plan.depths, self.plan.depths.get(c, 0), c)
         return sorted(self.store.state["dirty"], key=depth)
 
@@ -131,34 +144,58 @@ class Engine:
         return next((c for c in self.dirty_cells() if c not in set(but)), None)
 
     def is_clean(self) -> bool:
+        self.store.refresh()
         return not self.store.state["dirty"]
 
     # -- writes --
 
-    def _keyed(self, node: Node, rows: DataFrame) -> DataFrame:
+    def _keyed(self, node: Node, rows: DataFrame, order: str | None = None) -> DataFrame:
         missing = [k for k in node.primary_key if k not in rows.columns]
         if missing:
             raise NodeError(f"{node.id!r}: rows without identity column {missing[0]!r}")
-        extra = [c for c in rows.columns if c not in node.names]
+        extra = [c for c in rows.columns if c not in node.names and c != order]
         if extra:
             raise NodeError(f"{node.id!r}: rows with unknown column {extra[0]!r}")
-        rows = rows.withColumn(KEY, key_of(node.primary_key))
+        rows = rows.withColumn(KEY, identity_of(node.primary_key))
         return rows.withColumn(UNIT, F.col(KEY))
 
-    def write(self, cell: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None, mark: bool = True, reason: str = "write") -> dict:
+    def _one_per_key(self, node: Node, rows: DataFrame, order: str | None = None) -> DataFrame:
+        """One row per key, the last by ``order``; without one, a key with rows that differ fails the job."""
+        kept = [c for c in rows.columns if c not in (KEY, order)]
+        pick = F.max_by(F.struct(*kept), order) if order else F.any_value(F.struct(*kept))
+        one = rows.groupBy(KEY).agg(pick.alias("r"), *([] if order else [(F.min(F.xxhash64(*kept)) != F.max(F.xxhash64(*kept))).alias("d")]))
+        if not order:
+            one = one.where(F.when(F.col("d"), F.raise_error(F.concat(F.lit(DIFFER), F.col(KEY))).cast("boolean")).otherwise(True))
+        return one.select(KEY, *(F.col(f"r.{c}").alias(c) for c in kept))
+
+    def write(self, cell: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None, mark: bool = True, reason: str = "write", order: str | None = None) -> dict:
         """Ordinary writes to a node: rows and marks in one commit. deletes: rows with the primary key's columns.
 
         Returns how many rows were created, changed and retired. Without the matching entry in
-        ``dirties_on`` a kind of change is written but marks nothing.
+        ``dirties_on`` a kind of change is written but marks nothing. Of several rows with one key that with the largest
+        ``order`` (a further column of ``upserts``) counts; without one, such rows must be equal, or nothing is written. A write beside
+        another writer of the same cell is worked out again on that one's rows.
         """
-        node = self.node(cell)
+        for again in range(8):
+            self.store.refresh()
+            try:
+                return self._write(cell, upserts, deletes, mark, reason, order)
+            except Busy:
+                if again == 7:
+                    raise
+                time.sleep(0.1 * (again + 1))
+        raise AssertionError
+
+    def _write(self, cell: str, upserts: DataFrame | None, deletes: DataFrame | None, mark: bool, reason: str, order: str | None) -> dict:
+        node, base = self.node(cell), self.store.state
         prior, parts = self.rows(cell), []
         if upserts is not None:
-            new = self._with_fingerprint(node, self._keyed(node, upserts))
+            new = self._one_per_key(node, self._keyed(node, upserts, order), order)
+            new = self._with_fingerprint(node, new)
             emitted = [c for c in new.columns if c in node.names]
             parts.append(diff(node, new, prior.join(new.select(KEY), KEY, "left_semi"), emitted, retire=False, lapses=False))
         if deletes is not None:
-            gone = deletes.select(key_of(node.primary_key).alias(KEY)).distinct()
+            gone = deletes.select(identity_of(node.primary_key).alias(KEY)).distinct()
             old = prior.join(gone, KEY, "left_semi")
             before = F.struct(UNIT, *node.names)
             parts.append(old.select(*HIDDEN, *node.names, F.lit("retired").alias(OP), before.alias(BEFORE)))
@@ -171,11 +208,13 @@ class Engine:
         if mark and any(counts[k] and v in node.dirties_on for k, v in kinds.items()):
             ops = [k for k, v in kinds.items() if v in node.dirties_on]
             self._mark(draft, cell, ref={"from": cell, "kind": "change", "path": counts["path"], "ops": ops}, reason=reason)
+        if mark and node.schedule_drain:
+            draft["scheduled"] = True
+        if counts["rows"] or draft.get("scheduled") != base.get("scheduled"):
+            self.store.commit(draft, base)
         if counts["rows"]:
-            self.store.commit(draft)
             self.store.compact(cell, node.schema)
         if mark and node.schedule_drain:
-            self.pending_drain = True
             try:
                 if self.on_schedule:
                     self.on_schedule(self)
@@ -185,7 +224,8 @@ class Engine:
 
     def annotate(self, cell: str, rows: DataFrame) -> dict:
         """Human marks on a computed node: the primary key and columns of ``augmented_by``. Only rows that exist take them."""
-        node = self.node(cell)
+        self.store.refresh()
+        node, base = self.node(cell), self.store.state
         names = [c for c in rows.columns if c not in node.primary_key]
         refused = [c for c in names if c not in node.augmented_by]
         if refused:
@@ -198,7 +238,7 @@ class Engine:
             ref = {"from": cell, "kind": "change", "path": counts["path"]}
             for p in self.plan.parents.get(cell, ()):
                 self._mark(draft, p, ref=ref, reason="annotate")
-            self.store.commit(draft)
+            self.store.commit(draft, base)
         return {k: counts[k] for k in REPORTED}
 
     def _with_fingerprint(self, node: Node, rows: DataFrame) -> DataFrame:
@@ -215,7 +255,13 @@ class Engine:
         seen = Observation()
         path = self.store.new_path(cell, "change")
         ops = (*REPORTED, "touched")
-        change.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(OP) == k).alias(k) for k in ops)).write.parquet(path)
+        try:
+            self._observed(change, seen, ops, path)
+        except Exception as e:
+            if DIFFER in str(e):
+                key = str(e).partition(DIFFER)[2].split("\n")[0].split("'")[0]
+                raise NodeError(f"{cell!r}: rows that differ have one key, {key.strip()!r}; give a write an order") from None
+            raise
         counts = {k: v or 0 for k, v in seen.get.items()} | {"path": path}
         if counts["rows"]:
             self.store.add_change(draft, cell, path, counts["rows"], counts["created"], counts["retired"])
@@ -223,6 +269,10 @@ class Engine:
             draft["cells"].setdefault(cell, {"base": None, "base_rows": 0, "changes": [], "changed_rows": 0, "rows": 0})
         return counts
 
+    @staticmethod
+    def _observed(change: DataFrame, seen: Observation, ops: tuple, path: str) -> None:
+        change.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(OP) == k).alias(k) for k in ops)).write.parquet(path)
+
     # -- claims --
 
     def _images(self, ref: dict) -> DataFrame | None:
@@ -268,7 +318,7 @@ class Engine:
         if isinstance(c, Reduce) and child == c.over:
             if not whole_group:
                 images = with_calculations(self.node(child), images)
-            units = images.select(unit_of([e for _, e in group_exprs(node, c)]).alias(UNIT), *(e.isNull().alias(f"__n{i}") for i, (_, e) in enumerate(group_exprs(node, c))))
+            units = images.select(identity_of([e for _, e in group_exprs(node, c)]).alias(UNIT), *(e.isNull().alias(f"__n{i}") for i, (_, e) in enumerate(group_exprs(node, c))))
             if whole_group and not units.where("__n0").isEmpty():
                 return WHOLE
             return units.select(UNIT)
@@ -277,7 +327,7 @@ class Engine:
             sides = [s for s, name in ((c.left, c.left_over or c.over), (c.right, c.right_over or c.over)) if name == child]
             if not sides:
                 return WHOLE
-            parts = [on_side(images, s).select(unit_of([join_key(s)]).alias(UNIT)) for s in sides]
+            parts = [on_side(images, s).select(identity_of([join_key(s)]).alias(UNIT)) for s in sides]
             return reduce(DataFrame.unionByName, parts)
         if isinstance(c, Union):
             return images.select(F.concat_ws(BAR, F.lit(child), F.col(KEY)).alias(UNIT))
@@ -285,7 +335,7 @@ class Engine:
             if child != c.over:
                 return WHOLE
             images = with_calculations(self.node(child), images)
-            return images.select(key_of([c.key] if isinstance(c.key, str) else c.key).alias(UNIT))
+            return images.select(identity_of([c.key] if isinstance(c.key, str) else c.key).alias(UNIT))
         if isinstance(c, PerKey) or c is None or child in self.inputs(cell):
             return images.select(F.col(KEY).alias(UNIT))
         return WHOLE
@@ -326,24 +376,27 @@ class Engine:
         began = time.perf_counter()
         node, state = self.node(cell), self.store.state
         found = state["dirty"].get(cell, {"whole": False, "refs": [], "causes": []})
-        draft = self.store.draft()
+        base, draft = state, self.store.draft()
         draft["dirty"].pop(cell, None)
         causes = list(found["causes"])
         meta: dict = {}
         if node.computation is None:
             step = self._pass_through(draft, cell, node, found)
         else:
-            claims = self.claims(cell)
-            made = produce(Context(self, cell, node, claims))
+            claims, self.running = self.claims(cell), cell
+            try:
+                made = produce(Context(self, cell, node, claims))
+            finally:
+                self.running = None
             if self.store.state is not state:  # it wrote for itself: those commits are kept, and the claim goes with ours
-                draft = self.store.draft()
-                draft["dirty"].pop(cell, None)
+                draft = rebased(base, draft, self.store.state)
+                base = self.store.state
             if isinstance(made, Produced):
                 meta = made.meta
                 step = self._materialize(draft, cell, node, claims, made, force)
             else:
                 step = self._own_writes(draft, cell, node, claims, made)
-        self.store.commit(draft)
+        self.store.commit(draft, base)
         if node.columns is not None and node.computation is not None:
             self.store.compact(cell, node.schema)
         step.causes, step.meta = [c for c in causes if c in self.plan.cells], {**step.meta, **meta}
@@ -405,20 +458,31 @@ class Engine:
         return Step(cell, None, claimed, changed, n, [], meta={k: counts[k] for k in (*REPORTED, "touched")})
 
     def _lapse_children(self, draft: dict, cell: str, node: Node, counts: dict, emitted: list[str]) -> None:
-        """Delete another node's rows that hang on keys (or units) whose watched columns moved."""
+        """Delete another node's rows that hang on keys (or units) whose watched columns moved. A failure is logged, and the recompute goes on."""
         for lapse in node.lapses:
             if lapse.target in node.names or not counts["changed"] + counts["touched"]:
                 continue
-            child = self.node(lapse.target)
-            hit = self.store.changes(counts["path"], node.schema).where(moved_since(watched(node, lapse, emitted)))
-            over = [lapse.over] if isinstance(lapse.over, str) else list(lapse.over or ())
-            keys = hit.select((key_of(over) if over else F.col(KEY)).alias("__k")).distinct()
-            old = self.rows(lapse.target).join(keys, F.col(lapse.key).cast("string") == F.col("__k"), "left_semi")
-            before = F.struct(UNIT, *child.names)
-            gone = self._add(draft, lapse.target, old.select(*HIDDEN, *child.names, F.lit("retired").alias(OP), before.alias(BEFORE)))
-            if gone["rows"]:
-                for p in self.plan.parents.get(lapse.target, ()):
-                    self._mark(draft, p, ref={"from": lapse.target, "kind": "change", "path": gone["path"]}, reason=lapse.target)
+            before = copy.deepcopy(draft)
+            try:
+                self._lapse_child(draft, cell, node, lapse, counts, emitted)
+            except Exception as e:
+                draft.clear()
+                draft.update(before)
+                log.exception("clearing %r of %r failed", lapse.target, cell)
+                self.events.emit("lapse.failed", cell=cell, target=lapse.target, error=e)
+
+    def _lapse_child(self, draft: dict, cell: str, node: Node, lapse, counts: dict, emitted: list[str]) -> None:
+        child = self.node(lapse.target)
+        hit = self.store.changes(counts["path"], node.schema).where(moved_since(watched(node, lapse, emitted)))
+        over = [lapse.over] if isinstance(lapse.over, str) else list(lapse.over or ())
+        keys = hit.select((identity_of(over) if over else F.col(KEY)).alias("__k")).distinct()
+        own = identity_of([lapse.key]) if len(over or node.primary_key) == 1 else F.col(lapse.key).cast("string")
+        old = self.rows(lapse.target).join(keys, own == F.col("__k"), "left_semi")
+        before = F.struct(UNIT, *child.names)
+        gone = self._add(draft, lapse.target, old.select(*HIDDEN, *child.names, F.lit("retired").alias(OP), before.alias(BEFORE)))
+        if gone["rows"]:
+            for p in self.plan.parents.get(lapse.target, ()):
+                self._mark(draft, p, ref={"from": lapse.target, "kind": "change", "path": gone["path"]}, reason=lapse.target)
 
     def _own_writes(self, draft: dict, cell: str, node: Node, claims: Claims, made) -> Step:
         """A computation that returned rows to upsert, or the keys that it changed by its own writes."""
@@ -426,7 +490,7 @@ class Engine:
         if made is None or not isinstance(made, (DataFrame, list, tuple, set)):
             raise TypeError(f"{cell!r}: its computation returned {type(made).__name__}; it returns changed keys (a list, or a DataFrame with a column key) or rows")
         if isinstance(made, DataFrame) and node.columns is not None and len(made.columns) > 1:
-            rows = self._keyed(node, made)
+            rows = self._one_per_key(node, self._keyed(node, made))
             return self._materialize_rows(draft, cell, node, claims, rows, claimed)
         if isinstance(made, DataFrame):
             made = made.select("key")
@@ -460,7 +524,11 @@ class Engine:
         """
         force = force if force == "all" else {force} if isinstance(force, str) else set(force)
         report, failed, began = Report(), set(), time.perf_counter()
-        self.pending_drain = False
+        self.store.refresh()
+        if self.store.state.get("scheduled"):
+            base, draft = self.store.state, self.store.draft()
+            draft["scheduled"] = False
+            self.store.commit(draft, base)
         self.events.emit("drain.start", tenant=self.tenant)
         try:
             while (cell := self.next_cell(failed)) is not None:
@@ -469,9 +537,9 @@ class Engine:
                 report.passes += 1
                 if cell not in self.plan.cells:
                     log.warning("dropping the marks of %r, which is not in the plan", cell)
-                    draft = self.store.draft()
+                    base, draft = self.store.state, self.store.draft()
                     draft["dirty"].pop(cell)
-                    self.store.commit(draft)
+                    self.store.commit(draft, base)
                     continue
                 try:
                     step = self._recompute(cell, force)
@@ -497,16 +565,13 @@ class Engine:
 
     def seed(self) -> Report:
         """Dirty all leaves wholly and drain."""
-        draft = self.store.draft()
+        self.store.refresh()
+        base, draft = self.store.state, self.store.draft()
         for c in self.plan.cells.values():
             if c.leaf or not c.inputs:
                 self._mark(draft, c.id, whole=True, reason="seed")
-        self.store.commit(draft)
+        self.store.commit(draft, base)
         return self.drain()
 
 
-def column(name: str) -> Column:
-    return F.col(name)
-
-
 __all__ = ["CellFailed", "Engine", "Runaway", "T"]

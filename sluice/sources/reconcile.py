@@ -107,9 +107,9 @@ def reconcile(engine, cell: str, want: DataFrame, observed: str = "all", retire:
 
 
 def _key(node):
-    from ..functions.keys import key_of
+    from ..functions.keys import identity_of
 
-    return key_of(node.primary_key)
+    return identity_of(node.primary_key)
 
 
 def invalidate(engine, cell: str, keys=None) -> list[str]:

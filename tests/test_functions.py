@@ -41,7 +41,7 @@ def test_keys_and_units(spark):
     df = spark.createDataFrame([("gf", 2025), (None, 1), ("", None)], "a string, b int")
     assert [r[0] for r in df.select(keys.key_of(["a", "b"])).collect()] == ["gf|2025", "|1", "|"]
     assert [r[0] for r in df.select(keys.key_of(["a"], "roll")).collect()] == ["roll|gf", "roll|", "roll|"]
-    units = [r[0] for r in df.select(keys.unit_of(["a"])).collect()]
+    units = [r[0] for r in df.select(keys.identity_of(["a"])).collect()]
     assert len(set(units)) == 3
 
 
@@ -63,6 +63,8 @@ def test_basis(spark):
         keys.basis([{"a": 1}], ["zz"])
     assert keys.basis(rows, ["a"], version=9) == keys.BASIS_UNKNOWN
     assert keys.basis_matches(digest, rows, ["a", "b"]) and not keys.basis_matches(None, rows, ["a"]) and not keys.basis_matches("junk", rows, ["a"])
+    odd = [{"a": "a", "b": "z"}, {"a": "a!", "b": "b"}, {"a": "a", "b": None}]  # sorted as lists, not as joined strings
+    assert keys.basis(odd, ["a", "b"]) == keys.basis(spark.createDataFrame([(r["a"], r["b"]) for r in odd], "a string, b string"), ["a", "b"])
     assert keys.basis_version(digest) == 1 and keys.basis_version("x:y") == 0
 
 
