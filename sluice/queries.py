@@ -121,7 +121,7 @@ def reduce_group_folds(spark, sf_dir):
     return maintained(spark, sf_dir, [LINES, totals])
 
 
-@query(f"""select o_custkey, min(cents) as low, max(cents) as high, cast(min(o_date) as varchar) as since, arg_min(o_orderpriority, cast(o_orderkey as varchar)) as first_priority
+@query(f"""select o_custkey, min(cents) as low, max(cents) as high, cast(min(o_date) as varchar) as since, arg_min(o_orderpriority, o_orderkey) as first_priority
   from {ORDERS_SQL} group by 1""")
 def reduce_min_max_first(spark, sf_dir):
     per = Node("per", "o_custkey long, low long, high long, since date, first_priority string", ("o_custkey",), Reduce("orders", "o_custkey", {"min": {"cents": "low", "o_date": "since"}, "max": {"cents": "high"}, "first": {"o_orderpriority": "first_priority"}}))
@@ -251,8 +251,8 @@ def expand_skip(spark, sf_dir):
 # -- joins, relations, unions -----------------------------------------------------------------------
 
 _VIEWS = Join(Side("user_id", {"event_type": "click"}), Side("user_id", {"event_type": "view"}), {"left": {"cents": "click"}, "right": {"cents": "view"}}, over="events")
-_SIDES_SQL = f"""with c as (select user_id, arg_max(cents, cast(event_id as varchar)) as click from {EVENTS_SQL} where event_type = 'click' group by 1),
-  v as (select user_id, arg_max(cents, cast(event_id as varchar)) as view from {EVENTS_SQL} where event_type = 'view' group by 1)
+_SIDES_SQL = f"""with c as (select user_id, arg_max(cents, event_id) as click from {EVENTS_SQL} where event_type = 'click' group by 1),
+  v as (select user_id, arg_max(cents, event_id) as view from {EVENTS_SQL} where event_type = 'view' group by 1)
   select 'u|' || cast(KEY as varchar) as key, click, view from c KIND join v on c.user_id = v.user_id"""
 
 
@@ -305,7 +305,7 @@ def join_two_node_outer(spark, sf_dir):
     return engine.table("both")
 
 
-@query(f"""with e as (select *, cast(event_id as varchar) as k from {EVENTS_SQL}),
+@query(f"""with e as (select *, event_id as k from {EVENTS_SQL}),
   l as (select user_id, arg_max(cents, k) as cents from e where event_type = 'purchase' group by 1), r as (select user_id, arg_max(cents, k) as cents from e where event_type = 'signup' group by 1)
   select cast(l.user_id as varchar) as key, l.cents + coalesce(r.cents, 0) as both_cents from l left join r on l.user_id = r.user_id""")
 def join_duplicate_last_wins(spark, sf_dir):
@@ -585,7 +585,7 @@ def verdict(spark, sf_dir):
     return _month_health(spark, sf_dir).table("months").agg(*verdict_columns())
 
 
-@query("""select n_regionkey, '1:' || sha256(array_to_string(list_transform(list_sort(list([cast(n_nationkey as varchar), n_name])), r -> r[1] || '\\x1F' || r[2]), chr(10))) as digest
+@query("""select n_regionkey, '1:' || sha256(array_to_string(list_transform(list_sort(list([cast(n_nationkey as varchar), n_name])), lambda r: r[1] || '\\x1F' || r[2]), chr(10))) as digest
   from nation group by 1""")
 def basis_digest(spark, sf_dir):
     leaf = Node("nations", "n_nationkey int, n_name string, n_regionkey int", ("n_nationkey",), leaf=True)

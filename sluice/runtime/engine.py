@@ -173,7 +173,8 @@ class Engine:
 
         Returns how many rows were created, changed and retired. Without the matching entry in
         ``dirties_on`` a kind of change is written but marks nothing. Of several rows with one key that with the largest
-        ``order`` (a further column of ``upserts``) counts; without one, such rows must be equal, or nothing is written. A write beside
+        ``order`` (a further column of ``upserts``) counts; without one, such rows must be equal, or nothing is written. A key that is
+        deleted in the same write is gone. A write beside
         another writer of the same cell is worked out again on that one's rows.
         """
         for again in range(8):
@@ -191,6 +192,8 @@ class Engine:
         prior, parts = self.rows(cell), []
         if upserts is not None:
             new = self._one_per_key(node, self._keyed(node, upserts, order), order)
+            if deletes is not None:
+                new = new.join(deletes.select(identity_of(node.primary_key).alias(KEY)), KEY, "left_anti")
             new = self._with_fingerprint(node, new)
             emitted = [c for c in new.columns if c in node.names]
             parts.append(diff(node, new, prior.join(new.select(KEY), KEY, "left_semi"), emitted, retire=False, lapses=False))
