@@ -68,11 +68,12 @@ def normalised(text: str) -> list[bytes]:
 _POWERS = np.cumprod(np.append(np.uint64(1), np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, np.uint64)))
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """Hashes of different words, from their bytes."""
+def word_hashes(words: pa.Array, bytes_as: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of different words, from their bytes, or from what a table makes of each byte."""
     _, offsets, data = words.buffers()
     first = np.frombuffer(offsets, np.int64, len(words) + 1)
     raw, size = np.frombuffer(data or b"", np.uint8, int(first[-1])), np.diff(first)
+    raw = raw if bytes_as is None else bytes_as[raw]
     out = size.astype(np.uint64)
     some = np.flatnonzero(size)
     if len(some):

@@ -38,6 +38,8 @@ SPREAD = 16  # a node that branches chooses each function with probability 1 / S
 _RNG = np.random.default_rng(20_24)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
 _STEP = 4 << 20  # bytes of text that are cut into words at a time, beside one text
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -49,10 +51,9 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     cuts = np.searchsorted(sizes, np.arange(_STEP, int(sizes[-1]) if len(sizes) else 0, _STEP)) + 1
     borders = sorted({0, *cuts.tolist(), len(texts)})
     for a, z in zip(borders, borders[1:], strict=False):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(a, z - a), "").cast(pa.large_string())))
-        words = split.flatten()
-        words = words.dictionary_encode()
-        h = word_hashes(words.dictionary)[words.indices.to_numpy()]
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(a, z - a), "").cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        h = word_hashes(words.dictionary, _LOWERED)[words.indices.to_numpy()]
         filled = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[words.indices.to_numpy()] if len(words) else np.zeros(0, bool)
         ends = np.append(0, np.cumsum(filled))[split.offsets.to_numpy() - split.offsets[0].as_py()]  # white space at a text's ends makes empty words
         h = h[filled]

@@ -154,6 +154,43 @@ def test_near_duplicates(docs, odd, empty):
     assert near.near_duplicates(empty).collect() == []
 
 
+@pytest.mark.parametrize("step", [40, 3000, 1 << 22])
+def test_shingles_of_many_texts(monkeypatch, step):
+    """However the texts are cut into steps and slices, against plain Python."""
+    import pyarrow as pa
+
+    def plain(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    monkeypatch.setattr(near, "_STEP", step)
+    texts = [*TEXTS, "A b", " a  B\tc\n", "b a", "É É\u0085x", *[prose(R.randint(0, 30), i).upper() for i in range(40)]] * 2
+    for array in (pa.array(texts, pa.string()), pa.array(["x y z", None, *texts], pa.string()).slice(2)):
+        sets = near.shingle_sets(array)
+        assert [len(s) for s in sets] == [len(plain(t)) for t in texts]
+        for i in range(0, len(texts), 7):
+            for j in range(i, len(texts), 5):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(plain(texts[i]) & plain(texts[j]))
+
+
+@pytest.mark.parametrize("step", [50, 5000])
+def test_words_encoded_in_steps_and_slices(monkeypatch, step):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "_STEP", step)
+    whole = pa.array(["skipped", *TEXTS, *TEXTS], pa.string()).slice(1)
+    borders, at = packing._steps(whole), 0
+    for a, z in zip(borders, borders[1:], strict=False):
+        ids, ends = own.encode(whole.slice(a, z - a), 2)
+        for i in range(z - a):
+            assert ids[ends[i] : ends[i + 1]].tolist() == [*t.encode(whole[at].as_py() or "", add_special_tokens=False).ids, 2]
+            at += 1
+    assert at == len(whole)
+
+
 def test_chosen_paths_reach_their_recall_in_large_nodes(spark):
     """Pairs that agree in each function with the threshold's probability, all nodes large enough to branch at every level."""
     r, rows, n = np.random.default_rng(5), [], 4000
