@@ -3,8 +3,8 @@
 The network reads a text's UTF-8 bytes in windows, one state forward and one backward, labels
 every position, and a document's probabilities are the mean over its letters' positions in the
 whole text. It is trained in numpy by backpropagation through time on a bounded, documented
-sample: at most ``per_label`` labelled documents a label, one excerpt of ``excerpt`` characters from
-each. Prediction runs on every byte of every text, in batches of windows of bounded memory.
+sample: at most ``per_label`` labelled documents a label, ``pieces`` pieces of ``piece`` characters each from all parts of
+each whole text. Prediction runs on every byte of every text, in batches of windows of bounded memory.
 
 Cases: a null text or one without a letter is ``und`` with score 0; without any labelled text all
 are ``und``; with a single label all others have it, with score 1; only rows with a label and a text are learned
@@ -179,33 +179,46 @@ class ByteGru:
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
 
 
+_HASHES = 1 << 40
+
+
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_label: int, excerpt: int) -> list[tuple[str, str]]:
-    """(label, excerpt) pairs: at most ``per_label`` documents a label, the least by a hash of the id."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label).select("doc_id").distinct()
-    ids = [r[0] for r in chosen.collect()]  # at most per_label a label
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
-    rows = known.where(F.col("doc_id").isin(ids)).select("lang", F.col("text").substr(start, F.lit(excerpt)), "doc_id").collect()
-    return [(lang, text) for lang, text, _ in sorted(rows, key=lambda r: (r[2] is None, r[2], r[0], r[1]))]
+def training_sample(docs: DataFrame, per_label: int, pieces: int, piece: int) -> list[tuple[str, list[str]]]:
+    """(label, pieces of its text) of at most ``per_label`` rows a label, the least by a hash of id and text.
 
-
-def train(docs: DataFrame, per_label: int = 400, excerpt: int = 384, epochs: int = 6, hidden: int = 12) -> ByteGru | None:
+    Rows far over that hash's quantile are left out before any are ranked, so a label that most rows have is no one task's work.
+    The pieces are of ``piece`` characters each, one from each of ``pieces`` equal parts of the whole text.
+    """
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_HASHES)).alias("rank"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    near = known.join(sizes, "lang").where(F.col("rank") <= F.lit(float(4 * per_label * _HASHES)) / F.col("n"))
+    by_hash = Window.partitionBy("lang").orderBy("rank", "doc_id", "text")
+    chosen = near.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
+    room = F.greatest(F.length("text") - piece, F.lit(0))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.floor((i + F.pmod(F.xxhash64("rank", i), F.lit(1000)) / 1000) * room / pieces).cast("int") + 1)
+    texts = F.array_distinct(F.transform(cuts, lambda c: F.struct(c.alias("c"), F.substring("text", c, F.lit(piece)).alias("t")))).alias("texts")
+    rows = chosen.select("lang", "rank", "doc_id", texts).collect()  # at most per_label a label
+    rows = sorted(rows, key=lambda r: (r.lang, r.rank, r.doc_id is None, r.doc_id))
+    return [(r.lang, [t.t for t in r.texts]) for r in rows]
+
+
+def train(docs: DataFrame, per_label: int = 400, pieces: int = 6, piece: int = 64, epochs: int = 6, hidden: int = 12) -> ByteGru | None:
     """A network fitted on the rows that are not held out; None without any labelled text."""
-    sample = training_sample(docs, per_label, excerpt)
+    sample = training_sample(docs, per_label, pieces, piece)
     labels = sorted({lang for lang, _ in sample})
     if not labels:
         return None
     net = ByteGru(labels, hidden)
     rows, y = [], []
-    for lang, text in sample:
-        w = net.windows(text.encode("utf-8", "surrogatepass"))
-        rows.append(w)
-        y += [labels.index(lang)] * len(w)
+    for lang, texts in sample:
+        for text in texts:
+            w = net.windows(text.encode("utf-8", "surrogatepass"))
+            rows.append(w)
+            y += [labels.index(lang)] * len(w)
     if len(labels) > 1:
         net.fit(np.concatenate(rows), np.array(y), epochs)
     return net

@@ -425,7 +425,7 @@ def test_language(spark, odd, empty):
         rows.append((i, " ".join("".join(r.choice("abcde" if lang == "aa" else "fghij") for _ in range(5)) for _ in range(30)), lang))
     rows += [(1000, None, "aa"), (1001, "123 !?", "bb"), (1002, "", None), (None, "abcde " * 5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    net = language.train(docs, per_label=40, excerpt=128, epochs=4, hidden=6)
+    net = language.train(docs, per_label=40, pieces=2, epochs=4, hidden=6)
     out = {r.doc_id: r for r in language.predict(docs, net).collect()}
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(out[i].lang_pred == rows[i][2] for i in held) >= 0.95 * len(held)
