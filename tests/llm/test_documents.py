@@ -102,19 +102,36 @@ def test_pieces(docs, odd, empty):
     assert pieces.encode_documents(empty, path).collect() == []
 
 
-def test_fingerprints(docs, odd, empty):
-    found, order = by_id(fingerprints.fingerprints(docs, ranges=4)), sorted(range(len(TEXTS)), reverse=True)
-    for at, i in enumerate(order):
-        t, following = TEXTS[i] or "", TEXTS[order[(at + 1) % len(order)]] or ""
-        n = len(t) // 3
-        changed = t[: len(t) - n] + following[:n]
-        r = found[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == tuple(fingerprints.digest(fingerprints.canonical(x)) for x in (t, changed))
-        assert r.near_next == (fingerprints.canonical(t) == fingerprints.canonical(following))
-    assert found[0].fingerprint == found[6].fingerprint == found[14].fingerprint == found[7].fingerprint
-    assert fingerprints.fingerprints(odd, ranges=2).count() == 5
-    assert fingerprints.fingerprints(empty).collect() == []
+def plain_form(t):
+    import unicodedata
+
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+
+
+def expected_fingerprints(rows):
+    """Every column of every row, in the stated order: by falling id, rows without one last, then by the text's hash."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), 42 if r[1] is None else xx(r[1])))
+    out = []
+    for at, (i, t) in enumerate(rows):
+        t, following = t or "", rows[(at + 1) % len(rows)][1] or ""
+        changed = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        prints = []
+        for x in (t, changed):
+            raw = plain_form(x).encode()
+            prints.append(f"{xxhash.xxh3_128_hexdigest(raw)}-{len(raw):x}")
+        out.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), *prints, float(plain_form(t) == plain_form(changed)), float(plain_form(t) == plain_form(following))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 4, 50])
+def test_fingerprints(spark, docs, empty, ranges):
+    odd = [(5, "same " * 40), (5, "same " * 40), (5, "same " * 40), (5, "Same  " * 40), (None, "x"), (None, None), (None, ""), (None, "x"), (-3, "a\u0301b" * 9), (2**63 - 1, "top"), (-(2**63), "low")]
+    for rows in (list(enumerate(TEXTS)), odd, [(1, "lone text")], [(1, "twice"), (1, "twice")], odd + list(enumerate(TEXTS))):
+        df = spark.createDataFrame([(d, t, "", "", 0, 0, "", 0, "", b"", "") for d, t in rows], SCHEMA).repartition(3)
+        df.cache().count()
+        found = fingerprints.fingerprints(df, ranges=ranges).collect()
+        assert sorted((tuple(r) for r in found), key=str) == expected_fingerprints(rows)
+    assert fingerprints.fingerprints(empty, ranges=ranges).collect() == []
 
 
 def test_fingerprints_part_equal_digests(docs, monkeypatch, spark):
