@@ -16,6 +16,8 @@ empty table gives an empty result; only id, embedding and label are read, so oth
 
 from __future__ import annotations
 
+import logging
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,9 @@ THRESHOLD = 0.98
 _SURE = 1e-9  # radians by which an angle must clear the threshold to count without a comparison
 
 
+log = logging.getLogger(__name__)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """id, part (what is compared with each other), vec (unit vector, packed doubles)."""
 
@@ -303,10 +308,15 @@ def bridge(points: DataFrame, found: DataFrame, k: int, block: int = 1000) -> Da
 
 
 def audit(points: DataFrame, counted: DataFrame, sample: int) -> float:
-    """Share of a bounded sample's links, by brute force, that were found."""
-    chosen = points.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
-    linked = counted.where("n_links > 0").join(points, "id").orderBy(F.xxhash64("id", F.lit(4)), "id").limit(sample).select(*points.columns).collect()
-    chosen = list({r.id: r for r in [*chosen, *linked]}.values())
+    """The share of all links that were found, estimated by brute force on ``sample`` vectors with links and as many without.
+
+    Each of the two kinds counts with its own size, so vectors whose links were all missed weigh as many as they are.
+    """
+    known = points.join(counted.select("id", "n_links"), "id", "left").withColumn("linked", F.coalesce(F.col("n_links") > 0, F.lit(False)))
+    sizes = {r.linked: r["n"] for r in known.groupBy("linked").agg(F.count("*").alias("n")).collect()}
+    chosen = []
+    for linked, seed in ((False, 3), (True, 4)):
+        chosen += known.where(F.col("linked") == linked).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
     if not chosen:
         return 1.0
     by_part: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -329,12 +339,17 @@ def audit(points: DataFrame, counted: DataFrame, sample: int) -> float:
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
 
-    true = points.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    both = true.join(counted, "id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    true = {r.id: r["n"] for r in points.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # of the sample
+    there = got = 0.0
+    for linked, size in sizes.items():
+        rows = [r for r in chosen if r.linked == linked]
+        weight = size / max(1, len(rows))
+        there += weight * sum(true.get(r.id, 0) for r in rows)
+        got += weight * sum(min(true.get(r.id, 0), r.n_links or 0) for r in rows)
+    return got / there if there else 1.0
 
 
-def near_vectors(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 48, rounds: int = 3, least_recall: float = 0.99, sample: int = 128, attempts: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 48, rounds: int = 3, least_recall: float = 0.99, sample: int = 128, attempts: int = 3, fail_below: float = 0.9) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for rows of ``vec_id, embedding, label``."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     points = materialize(usable(vectors), "points")
@@ -354,8 +369,14 @@ def near_vectors(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 4
         found = materialize(bridge(points, found, k), "found")
         members = found.withColumnRenamed("node", "id").join(points.select("id", "vec"), "id")
         counted = materialize(count_links(members), "counted")
-        if audit(points, counted, sample) >= least_recall:
+        recall = audit(points, counted, sample)
+        log.info("near vectors: recall %.4f after %d trees", recall, (attempt + 1) * trees)
+        if recall >= least_recall:
             break
+    else:
+        if recall < fail_below:
+            raise RuntimeError(f"near vectors: the audited recall is {recall:.3f} after {attempts} attempts, under {fail_below}; give more trees or attempts")
+        log.warning("near vectors: the audited recall is %.4f, under %.4f", recall, least_recall)
     out = vectors.select("vec_id").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(counted.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
 

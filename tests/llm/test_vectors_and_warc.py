@@ -71,6 +71,19 @@ def test_saturated_groups_are_linked(spark, apart):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in found.items()} == {i: (links[i], low[i], low[i] == i) for i in low}
 
 
+def test_the_audit_sees_missed_links_and_fails_loudly(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    centers = r.normal(size=(40, 16))
+    points = neighbours.usable(spark.createDataFrame([(i, (centers[i % 40] + 1e-4 * r.normal(size=16)).tolist(), 0, 0, "", 0) for i in range(120)], V).select("vec_id", "embedding", "label")).cache()
+    all_found = points.selectExpr("id", "2L as n_links")
+    assert neighbours.audit(points, all_found, 50) == 1.0
+    half = points.selectExpr("id", "if(id % 40 < 10, 2L, 0L) as n_links")  # three quarters of the vectors have lost their links
+    assert abs(neighbours.audit(points, half, 100) - 0.25) < 0.05
+    monkeypatch.setattr(neighbours, "audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="recall is 0.5"):
+        neighbours.near_vectors(spark.createDataFrame([(i, [1.0, float(i)], 0, 0, "", 0) for i in range(5)], V), attempts=1)
+
+
 def test_no_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], V)).collect() == []
     twice = spark.createDataFrame([(1, [1.0, 0.0], 1, 0, "", 0)] * 2 + [(None, [1.0, 0.0], 1, 0, "", 0)], V)
