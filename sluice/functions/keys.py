@@ -32,11 +32,16 @@ def identity_of(columns: Iterable[Column | str], prefix: str | None = None) -> C
     Null is a backslash and N, a backslash is doubled, and a bar inside one of several values has a backslash before it.
     """
     columns = list(columns)
-    marks = r"([\\|])" if len(columns) > 1 else r"(\\)"
-    parts = [F.coalesce(F.regexp_replace(_text(c), marks, r"\\$1"), F.lit("\\N")) for c in columns]
+    parts = [F.replace(_text(c), F.lit("\\"), F.lit("\\\\")) for c in columns]
+    parts = [F.coalesce(F.replace(p, F.lit(BAR), F.lit("\\" + BAR)) if len(columns) > 1 else p, F.lit("\\N")) for p in parts]
     return F.concat_ws(BAR, *([F.lit(prefix)] if prefix else []), *parts)
 
 
+def value_of(key: str) -> str | None:
+    """The value that a hidden key of one column stands for."""
+    return None if key == "\\N" else key.replace("\\\\", "\\")
+
+
 def first_segment(key: Column) -> Column:
     """The first value of a hidden key."""
     head = F.regexp_extract(key, r"^((?:[^\\|]|\\.)*)", 1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import Bucket, bounds, bucket_of_key_column, parse
-from ..functions.keys import BAR, fingerprint, first_segment, identity_of
+from ..functions.keys import BAR, fingerprint, first_segment, identity_of, value_of
 from ..plans.model import Aggregate, CellFailed, Join, Node, NodeError, PerKey, Reduce, Union, fold_items, group_items, picks
 from ..runtime.store import KEY, UNIT
 
@@ -25,11 +25,15 @@ SKIP = "__skip"
 
 @dataclass
 class Claims:
-    """What is to be recomputed: everything, or the units in ``units`` (one column). legs: union inputs among them."""
+    """What is to be recomputed: everything, or the units in ``units`` (one column). legs: union inputs among them.
+
+    values: the units themselves where they are few, so that scans can be pruned by them.
+    """
 
     whole: bool
     units: DataFrame | None = None
     legs: set[str] | None = None
+    values: list[str] | None = None
 
     def scope(self, rows: DataFrame) -> DataFrame:
         return rows if self.whole else rows.join(self.units, UNIT, "left_semi")
@@ -52,7 +56,7 @@ class Context:
     node: Node
     claims: Claims
 
-    def input(self, name: str, read: str | None = None, query=None, unit: Column | None = None, hull: tuple[str, str] | None = None) -> DataFrame:
+    def input(self, name: str, read: str | None = None, query=None, unit: Column | None = None, hull: tuple[str, str] | None = None, column: str | None = None) -> DataFrame:
         """A node's rows: named read, calculations, the node's query, and only then the scope, which it cannot undo."""
         source = self.engine.node(name)
         rows = self.engine.rows(name)
@@ -65,8 +69,19 @@ class Context:
             return rows
         if hull and not self.claims.whole:
             rows = self.in_hull(rows, *hull)
+        if column in source.names and not self.claims.whole and self.claims.values is not None:
+            rows = self.among(rows, source.schema[column])
         return self.claims.scope(rows.withColumn(UNIT, unit))
 
+    def among(self, rows: DataFrame, column: T.StructField) -> DataFrame:
+        """Few claimed values as a filter on the column itself, which reaches the files; the semi-join makes it exact."""
+        values = [value_of(v) for v in self.claims.values]
+        if None in values or not isinstance(column.dataType, (T.StringType, T.LongType, T.IntegerType, T.ShortType)):
+            return rows
+        if not isinstance(column.dataType, T.StringType):
+            values = [int(v) for v in values if v.lstrip("-").isdigit()]
+        return rows.where(F.col(column.name).isin(values) if values else F.lit(False))
+
     def in_hull(self, rows: DataFrame, kind: str, column: str) -> DataFrame:
         """A range of dates around the claimed labels, which prunes the scan; the semi-join makes it exact."""
         low, high = self.claims.units.agg(F.min(UNIT), F.max(UNIT)).first()
@@ -130,7 +145,9 @@ def reduce_rows(ctx: Context, c: Reduce) -> Produced:
     if len(exprs) == 1 and not (node.recompute_by and node.recompute_by.from_key):
         calculation = source.calculations.get(group_items(c.group_by)[0][1])
         hull = (calculation.kind, calculation.column) if isinstance(calculation, Bucket) else None
-    rows = ctx.input(c.over, c.read, c.query, identity_of([e for _, e in exprs]), hull)
+    plain = group_items(c.group_by)[0][1] if len(exprs) == 1 and not (node.recompute_by and node.recompute_by.from_key) else None
+    column = plain if isinstance(plain, str) and plain not in source.calculations else None
+    rows = ctx.input(c.over, c.read, c.query, identity_of([e for _, e in exprs]), hull, column)
     names = [f"__g{i}" for i in range(len(exprs))]
     rows = rows.withColumns({n: e for n, (_, e) in zip(names, exprs, strict=True)})
     dests = [d for d, _ in exprs]

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import copy
 import logging
+import threading
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,7 @@ from .report import Events, Report, Step
 from .store import BEFORE, HIDDEN, KEY, OP, UNIT, Busy, Store, rebased
 
 log = logging.getLogger(__name__)
+FEW = 4000  # claimed units that are worked with as values
 DIFFER = "rows that differ have the key "
 REPORTED = ("created", "changed", "retired")
 
@@ -53,7 +57,8 @@ class Engine:
         self.store = Store(spark, root, self.tenant)
         self.trace, self.escalate_whole, self.key_rule = trace, escalate_whole, key_rule
         self.events = Events()
-        self.on_schedule, self.running = None, None
+        self.on_schedule = None
+        self.running: set[tuple[str, int]] = set()  # cells at work, and their threads
 
     # -- reading --
 
@@ -101,7 +106,7 @@ class Engine:
             self.store.commit(draft, base)
 
     def _mark_keys(self, draft: dict, cell: str, source: str, keys, reason: str = "") -> bool:
-        if cell == self.running:  # what a cell marks of itself while it runs is taken up with its claim
+        if (cell, threading.get_ident()) in self.running:  # what a cell marks of itself while it runs is taken up with its claim
             return False
         if isinstance(keys, DataFrame):
             frame = keys.select(F.col("key").cast("string").alias(KEY)).distinct()
@@ -365,7 +370,11 @@ class Engine:
         claimed = reduce(DataFrame.unionByName, units).distinct()
         if cell in legs and isinstance(self.node(cell).computation, Union):
             legs = None
-        return Claims(False, claimed, legs)
+        few = [r[0] for r in claimed.limit(FEW + 1).collect()]
+        if len(few) > FEW:
+            return Claims(False, claimed, legs)
+        table = pa.table({UNIT: pa.array(few, pa.string())})
+        return Claims(False, self.spark.createDataFrame(table, f"{UNIT} string"), legs, few)
 
     # -- one cell --
 
@@ -386,11 +395,12 @@ class Engine:
         if node.computation is None:
             step = self._pass_through(draft, cell, node, found)
         else:
-            claims, self.running = self.claims(cell), cell
+            claims, own = self.claims(cell), (cell, threading.get_ident())
+            self.running.add(own)
             try:
                 made = produce(Context(self, cell, node, claims))
             finally:
-                self.running = None
+                self.running.discard(own)
             if self.store.state is not state:  # it wrote for itself: those commits are kept, and the claim goes with ours
                 draft = rebased(base, draft, self.store.state)
                 base = self.store.state
@@ -519,11 +529,12 @@ class Engine:
 
     # -- the drain --
 
-    def drain(self, max_passes: int = 100_000, force: str | Iterable[str] = ()) -> Report:
+    def drain(self, max_passes: int = 100_000, force: str | Iterable[str] = (), workers: int = 1) -> Report:
         """Recompute dirty cells, the shallowest first, until none is left that can be.
 
         CellFailed leaves its cell dirty and goes on; any other exception ends the drain. Either way that cell has
         committed nothing. force: cells ("all" for every one) whose claimed keys reach their consumers though no value moved.
+        workers: how many cells of one depth, which cannot read each other, are at work at once.
         """
         force = force if force == "all" else {force} if isinstance(force, str) else set(force)
         report, failed, began = Report(), set(), time.perf_counter()
@@ -544,15 +555,26 @@ class Engine:
                     draft["dirty"].pop(cell)
                     self.store.commit(draft, base)
                     continue
-                try:
-                    step = self._recompute(cell, force)
-                except CellFailed as e:
-                    failed.add(cell)
-                    report.steps.append(Step(cell, self.plan.depths[cell], [], [], 0, list(self.store.state["dirty"].get(cell, {}).get("causes", [])), meta={"error": str(e)}, status="failed"))
-                    self.events.emit("drain.cell_failed", cell=cell, error=e)
-                    continue
-                report.steps.append(step)
-                self.events.emit("drain.step", step=step)
+                depth = self.plan.depths[cell]
+                level = [c for c in self.dirty_cells() if c not in failed and self.plan.depths.get(c) == depth][: min(workers, max_passes - report.passes + 1)]
+                report.passes += len(level) - 1
+                if len(level) == 1:
+                    outcomes = [self._attempt(cell, force)]
+                else:
+                    with ThreadPoolExecutor(len(level)) as pool:
+                        outcomes = list(pool.map(lambda c: self._attempt(c, force), level))
+                for c, (step, error) in zip(level, outcomes, strict=True):
+                    if error is None:
+                        report.steps.append(step)
+                        self.events.emit("drain.step", step=step)
+                    elif isinstance(error, CellFailed):
+                        failed.add(c)
+                        causes = list(self.store.state["dirty"].get(c, {}).get("causes", []))
+                        report.steps.append(Step(c, depth, [], [], 0, causes, meta={"error": str(error)}, status="failed"))
+                        self.events.emit("drain.cell_failed", cell=c, error=error)
+                broken = next((e for _, e in outcomes if e is not None and not isinstance(e, CellFailed)), None)
+                if broken:
+                    raise broken
         except Exception as e:
             report.duration_us = int((time.perf_counter() - began) * 1e6)
             self.events.emit("drain.exception", error=e, report=report)
@@ -561,6 +583,12 @@ class Engine:
         self.events.emit("drain.stop", report=report)
         return report
 
+    def _attempt(self, cell: str, force) -> tuple[Step | None, Exception | None]:
+        try:
+            return self._recompute(cell, force), None
+        except Exception as e:
+            return None, e
+
     def locked_drain(self, **options) -> Report:
         """A drain that no other holder of the lock runs beside; raises Busy if one does."""
         with self.store.lock():
