@@ -203,9 +203,11 @@ def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int) -
     times; what is still larger at the last level comes as nodes of two of its blocks each, for all pairs of blocks.
     """
     roots, few = root_paths(recall, levels)
+    carried = [c for c in classes.columns if c != "signature"]
 
     def below(rows, paths):
-        return rows.withColumn("node", F.explode(F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in paths))))
+        made = rows.withColumn("node", F.explode(F.array(*(F.xxhash64(F.lit(t), F.lit(c), F.get("signature", F.lit(c))) for t, c in paths))))
+        return materialize(made.select("node", *carried), "level")
 
     def over(nodes):
         return materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > max_ids), "large")
@@ -222,13 +224,14 @@ def chosen_paths(classes: DataFrame, recall: float, levels: int, max_ids: int) -
         done.append(nodes.join(large, "node", "left_anti"))
         rows = nodes.join(large, "node")
         if level < levels:
+            rows = rows.join(classes.select("id", "signature"), "id")
             chosen = F.filter(F.sequence(F.lit(0), F.lit(FUNCTIONS - 1)), lambda c: F.pmod(F.xxhash64("node", c), F.lit(SPREAD)) == 0)
             rows = rows.withColumn("c", F.explode(chosen)).withColumn("node", F.xxhash64("node", "c", F.get("signature", F.col("c"))))
         else:
             rows = rows.withColumn("blocks", F.ceil(2 * F.col("n") / max_ids)).withColumn("own", F.pmod(F.xxhash64("node", "id"), "blocks"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             rows = rows.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-        nodes = materialize(rows.select(*classes.columns, "node"), "level")
+        nodes = materialize(rows.select("node", *carried), "level")
     for part in done:
         nodes = nodes.unionByName(part.select(*nodes.columns))
     return nodes

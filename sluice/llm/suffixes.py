@@ -36,6 +36,7 @@ GRAM = 20
 STARTS = LENGTH - GRAM + 1  # grams in a string, and the most strings in a stretch
 WIDTH = STARTS + LENGTH - 1
 KEY_BITS = 47
+_BLOCK = 1 << 15  # strings whose keys are worked out at a time
 _CONTENT = np.dtype([("key", ">u8"), ("size", "u1"), ("bytes", "u1", WIDTH)])
 _RNG = np.random.default_rng(31)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
@@ -45,6 +46,36 @@ _ODD = _RNG.integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(
 # -- the suffix array ---------------------------------------------------------------------------
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """The order of non-negative integers, equal ones as they come: sorted with their places below them, if both fit in a word."""
+    low = max(1, len(key).bit_length())
+    if not len(key) or int(key.max()).bit_length() + low > 63:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.uint64) << np.uint64(low) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows by rising key, and which of them each row is. Rows are told apart by a hash, and then compared byte by byte."""
+    words = np.frombuffer(np.pad(rows.view(np.uint8).reshape(len(rows), -1), ((0, 0), (0, -rows.dtype.itemsize % 8))).tobytes(), np.uint64).reshape(len(rows), -1)
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(words.shape[1]):
+        h = (h ^ words[:, i]) * _ODD[i % len(_ODD)]
+        h ^= h >> np.uint64(29)
+    key = rows["key"].astype(np.uint64)
+    order = np.lexsort((h, key))
+    hk, kk = h[order], key[order]
+    new = np.append(True, (hk[1:] != hk[:-1]) | (kk[1:] != kk[:-1]))
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(new) - 1
+    distinct = order[new]
+    if (words[distinct[of]] != words).any():  # two rows with one hash
+        found, of = np.unique(rows.view(f"V{rows.dtype.itemsize}").reshape(-1), return_inverse=True)
+        return found.view(rows.dtype), of
+    return rows[distinct], of
+
+
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Dense ranks from 0 of rows of non-negative integers, compared column by column."""
     key = columns[0].astype(np.int64)
@@ -53,7 +84,7 @@ def _names(*columns: np.ndarray) -> np.ndarray:
         if len(key) and int(key.max() + 1) * width >= 1 << 62:
             key = np.unique(key, return_inverse=True)[1]
         key = key * width + c
-    order = np.argsort(key)
+    order = _order(key)
     ordered = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(key) else []
@@ -81,7 +112,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     by_rank = np.empty(len(sample), np.int64)
     by_rank[rank[sample] - 1] = sample
     one, two = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
-    rest = rest[np.argsort(t[rest] * (n + 3) + rank[rest + 1])]
+    rest = rest[_order(t[rest] * (n + 3) + rank[rest + 1])]
     # a sampled suffix is compared by one symbol and a rank, or by two symbols and a rank
     key = lambda at: t[at] * (n + 3) + rank[at + 1]
     in_one = np.searchsorted(key(one), key(rest))
@@ -127,6 +158,27 @@ def smallest_owner(stretches: np.ndarray, sizes: np.ndarray, owner: np.ndarray)
 # -- chunks of documents ------------------------------------------------------------------------
 
 
+def _string_keys(a: np.ndarray) -> np.ndarray:
+    """Keys of all strings in some bytes."""
+    h1 = _BYTE[a]
+    h2 = h1[:-1] * _ODD[0] + h1[1:]
+    h4 = h2[:-2] * _ODD[1] + h2[2:]
+    h8 = h4[:-4] * _ODD[2] + h4[4:]
+    h = h8[:-8] * _ODD[3] + h8[8:]
+    h = h[:-4] * _ODD[4] + h4[16:]
+    h ^= h >> np.uint64(32)
+    h *= _ODD[5]
+    h >>= np.uint64(64 - KEY_BITS)
+    span = 1
+    while 2 * span <= STARTS:
+        h = np.minimum(h[:-span], h[span:])
+        span *= 2
+    if span < STARTS:
+        h = np.minimum(h[: span - STARTS], h[STARTS - span :])
+    # least hashes are small numbers: a product that can be undone spreads them over the buckets
+    return h * _ODD[0] & np.uint64((1 << KEY_BITS) - 1)
+
+
 class Chunk:
     """Documents laid end to end, with the stretches of equal keys in them."""
 
@@ -143,37 +195,25 @@ class Chunk:
         a, none = self.bytes, np.array([], np.int64)
         if len(a) < LENGTH:
             return none, none, none.astype(np.uint64), none
-        h1 = _BYTE[a]
-        h2 = h1[:-1] * _ODD[0] + h1[1:]
-        h4 = h2[:-2] * _ODD[1] + h2[2:]
-        h8 = h4[:-4] * _ODD[2] + h4[4:]
-        h = h8[:-8] * _ODD[3] + h8[8:]
-        h = h[:-4] * _ODD[4] + h4[16:]
-        h ^= h >> np.uint64(32)
-        h *= _ODD[5]
-        h >>= np.uint64(64 - KEY_BITS)
-        span = 1
-        while 2 * span <= STARTS:
-            h = np.minimum(h[:-span], h[span:])
-            span *= 2
-        if span < STARTS:
-            h = np.minimum(h[: span - STARTS], h[STARTS - span :])
-        # h[p] is the key of the string at p; strings must lie in one document. Least hashes are small numbers:
-        # a product that can be undone spreads them over the buckets
-        h = h * _ODD[0] & np.uint64((1 << KEY_BITS) - 1)
-        doc = np.repeat(np.arange(len(self.size)), self.size)[: len(h)]
-        at = np.flatnonzero(np.arange(len(h)) + LENGTH <= (self.start + self.size)[doc])
-        if self.ids and any(i is None for i in self.ids):
-            at = at[np.array([i is not None for i in self.ids])[doc[at]]]
-        if not len(at):
+        # h[p] is the key of the string at p; strings must lie in one document
+        h = np.empty(len(a) - LENGTH + 1, np.uint64)
+        for p in range(0, len(h), _BLOCK):
+            h[p : p + _BLOCK] = _string_keys(a[p : p + _BLOCK + LENGTH - 1])
+        end = self.start + self.size - LENGTH + 1
+        some = np.flatnonzero((self.size >= LENGTH) & np.array([i is not None for i in self.ids]))
+        if not len(some):
             return none, none, none.astype(np.uint64), none
-        key, doc = h[at], doc[at]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        cut = np.flatnonzero(run % STARTS == 0)
-        lo = at[cut]
-        hi = at[np.append(cut[1:], len(at)) - 1]
-        return lo, hi, key[cut], doc[cut]
+        # stretches of one key in one document, none of more than STARTS strings
+        bounds = np.unique(np.concatenate([np.flatnonzero(h[1:] != h[:-1]) + 1, self.start[some], end[some]]))
+        first, last = bounds[:-1], bounds[1:]
+        of = some[np.maximum(np.searchsorted(self.start[some], first, side="right") - 1, 0)]
+        inside = (first >= self.start[of]) & (first < end[of])
+        first, last, of = first[inside], last[inside], of[inside]
+        pieces = (last - first + STARTS - 1) // STARTS
+        which = np.repeat(np.arange(len(first)), pieces)
+        lo = first[which] + STARTS * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        hi = np.minimum(lo + STARTS, last[which]) - 1
+        return lo, hi, h[lo], of[which]
 
     def keys(self) -> np.ndarray:
         """Distinct keys, shifted left, with bit 0 set for those that two documents here have."""
@@ -197,8 +237,8 @@ class Chunk:
         padded = np.concatenate([self.bytes, np.zeros(WIDTH, np.uint8)])
         for i in range(WIDTH):
             row["bytes"][:, i] = np.where(i < size, padded[self.lo[own] + i], 0)
-        distinct, content = np.unique(row.view(f"V{row.dtype.itemsize}").reshape(-1), return_inverse=True) if len(row) else (row, np.array([], np.int64))
-        return own, distinct.view(row.dtype), content
+        distinct, content = _distinct(row) if len(row) else (row, np.array([], np.int64))
+        return own, distinct, content
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -322,8 +362,7 @@ def _judge(batches):
         each = np.cumsum([0, *map(len, contents)])
         low, high = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (3, 4))
         every = np.concatenate(contents)
-        distinct, content = np.unique(every.view(f"V{_CONTENT.itemsize}").reshape(-1), return_inverse=True)
-        distinct = distinct.view(_CONTENT)
+        distinct, content = _distinct(every)
         owner = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(owner, content, low)
         least = smallest_owner(distinct["bytes"], distinct["size"].astype(np.int64), owner)[content]
