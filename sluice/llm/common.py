@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
