@@ -180,6 +180,7 @@ class ByteGru:
 
 
 _HASHES = 1 << 40
+MOST_LABELS = 2000  # as many outputs a network may have
 
 
 def held_out(doc_id):
@@ -194,8 +195,13 @@ def training_sample(docs: DataFrame, per_label: int, pieces: int, piece: int) ->
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_HASHES)).alias("rank"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    near = known.join(sizes, "lang").where(F.col("rank") <= F.lit(float(4 * per_label * _HASHES)) / F.col("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"language: more than {MOST_LABELS} labels")
+    if not sizes:
+        return []
+    least = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, float(4 * per_label * _HASHES) / r["n"])))
+    near = known.where(F.col("rank") <= least[F.col("lang")])
     by_hash = Window.partitionBy("lang").orderBy("rank", "doc_id", "text")
     chosen = near.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
     room = F.greatest(F.length("text") - piece, F.lit(0))
