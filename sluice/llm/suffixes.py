@@ -15,7 +15,7 @@ of a stretch, once at most, however many of its documents have it; so a passage
 documents share loads no task with more than one entry a chunk.
 
 Cases: a null or short text has nothing to remove; rows without an id neither remove nor lose
-anything; rows that share an id do not affect each other; a text of any length is one document, whole; an empty
+anything and are in no chunk; rows that share an id do not affect each other, and those whose texts differ are in chunks of their own; a text of any length is one document, whole; an empty
 table gives an empty result; only id and text are read, so other columns cannot clash.
 """
 
@@ -427,13 +427,16 @@ def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    apart = docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), (text if keep_text else F.lit(None).cast("string")).alias("kept"))
+    docs = docs.where("doc_id is not null")
     total, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if not n_docs:
-        return spark.createDataFrame([], _schema(_RESULT))
+        return apart
     chunks, buckets = ceil(((total or 0) + 1) / chunk_bytes), ceil(((total or 0) + 1) / bucket_bytes)
     tasks = max(1, min(chunks, 20_000))
     # held once in files by chunk, so that later joins by chunk move what they bring, and no texts
-    held = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(tasks, "chunk")
+    held = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(tasks, "chunk")
     held = bucketed(held, tasks, "chunk", "chunks")
     keys = held.sortWithinPartitions("chunk").mapInArrow(_emit_keys(buckets), _schema(_KEYS))
     told = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match_keys, _schema(_KEYS))
@@ -442,7 +445,8 @@ def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int
     verdicts = stretches.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge, _schema(_VERDICTS))
     verdicts = materialize(verdicts, "verdicts")
     told = told.select("chunk", "bucket", "keys", F.lit(None).cast("binary").alias("runs")).unionByName(verdicts.select("chunk", "bucket", F.lit(None).cast("binary").alias("keys"), "runs"))
-    return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_both_sides(_apply(buckets, keep_text), _RESULT), _schema(_RESULT))
+    done = held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_both_sides(_apply(buckets, keep_text), _RESULT), _schema(_RESULT))
+    return done.unionByName(apart)
 
 
 def op10_repeated_passages(spark, sf_dir: str) -> DataFrame:

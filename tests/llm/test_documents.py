@@ -369,7 +369,7 @@ def test_suffix_array():
 
 
 @pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "bucket_bytes": 9000}])
-def test_passages(docs, odd, empty, sizes):
+def test_passages(spark, docs, odd, empty, sizes):
     first, want = {}, {}
     for d, t in enumerate(TEXTS):
         raw = (t or "").encode()
@@ -385,6 +385,12 @@ def test_passages(docs, odd, empty, sizes):
     assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in found.items()} == want
     again = suffixes.repeated_passages(odd).collect()
     assert len(again) == 5 and all(r.n_removed == 0 for r in again)
+    whole = sorted((str(r.doc_id), len((r.text or "").encode()), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.n_bytes, r.kept_sha256) for r in again) == whole
+    same_id = spark.createDataFrame([(4, "k" * 30 + BASE[:200], *ROWS[0][2:]), (9, "one " + BASE[:120], *ROWS[0][2:]), (9, "two " + BASE[:160] + " end", *ROWS[0][2:]), (9, "three " + BASE[300:500], *ROWS[0][2:])], SCHEMA)
+    rest = sorted((r.n_bytes, r.n_removed) for r in suffixes.repeated_passages(same_id, **sizes).collect())
+    sizes_of = [len(x.encode()) for x in ("k" * 30 + BASE[:200], "one " + BASE[:120], "two " + BASE[:160] + " end", "three " + BASE[300:500])]
+    assert rest == sorted(zip(sizes_of, [0, len(BASE[:120].encode()), len(BASE[:160].encode()), 0]))
     assert suffixes.repeated_passages(empty).collect() == []
 
 
