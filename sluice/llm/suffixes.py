@@ -36,6 +36,7 @@ GRAM = 20
 STARTS = LENGTH - GRAM + 1  # grams in a string, and the most strings in a stretch
 WIDTH = STARTS + LENGTH - 1
 KEY_BITS = 47
+_SORTED = 1024  # stretches whose suffixes are sorted together: their arrays stay in the processor's cache
 _BLOCK = 1 << 15  # strings whose keys are worked out at a time
 _CONTENT = np.dtype([("key", ">u8"), ("size", "u1"), ("bytes", "u1", WIDTH)])
 _RNG = np.random.default_rng(31)
@@ -355,6 +356,14 @@ def _emit_stretches(buckets: int):
     return run
 
 
+def _key_ranges(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Borders of runs of about ``_SORTED`` stretches, which are sorted together; those of one key are in one run."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    cuts = first[np.unique(np.searchsorted(first, np.arange(0, len(keys), _SORTED)).clip(max=len(first) - 1))]
+    cuts = np.unique(np.append(cuts, [0, len(keys)])).tolist()
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _judge(batches):
     """Per chunk and bucket, runs of strings with an owner smaller than one of the chunk's documents that have them."""
     for rows in _by_group(batches, list(_STRETCHES)):
@@ -365,7 +374,8 @@ def _judge(batches):
         distinct, content = _distinct(every)
         owner = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(owner, content, low)
-        least = smallest_owner(distinct["bytes"], distinct["size"].astype(np.int64), owner)[content]
+        parts = [smallest_owner(distinct["bytes"][x:y], distinct["size"][x:y].astype(np.int64), owner[x:y]) for x, y in _key_ranges(distinct["key"])]
+        least = np.concatenate(parts)[content]
         strings = every["size"].astype(np.int64) - LENGTH + 1
         hit = (np.arange(STARTS)[None, :] < strings[:, None]) & (least < high[:, None])
         same = np.zeros_like(hit)
