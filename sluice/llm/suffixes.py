@@ -26,6 +26,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,7 +287,7 @@ _KEYS = {"bucket": pa.int64(), "chunk": pa.int64(), "keys": pa.binary()}
 _STRETCHES = {"bucket": pa.int64(), "chunk": pa.int64(), "contents": pa.binary(), "low": pa.binary(), "high": pa.binary()}
 _VERDICTS = {"chunk": pa.int64(), "bucket": pa.int64(), "runs": pa.binary()}
 _RUN = np.dtype([("content", "<u4"), ("first", "u1"), ("last", "u1"), ("low", "<i8")])
-_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+_RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "row": pa.int64()}
 _SQL = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
 
 
@@ -424,21 +425,21 @@ def _apply(buckets: int, keep_text: bool):
             n = int(mask.sum())
             spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()) if n else 0
             kept = chunk.bytes[start : start + size][~mask].tobytes() if n else data
-            out.append((i, size, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+            out.append((i, size, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, (xxhash.xxh64_intdigest(data, 42) ^ 1 << 63) - (1 << 63)))
         return out
 
     return run
 
 
 def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int = 2 << 20, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) ``kept`` of each document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, (if asked for) ``kept`` and ``row`` of each document.
 
-    kept: the bytes that stay as text; where a cut divides a character, its left-over bytes go too.
+    row: xxhash64 of the text as it was, which tells rows apart that share an id. kept: the bytes that stay as text; where a cut divides a character, its left-over bytes go too.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
-    apart = docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), (text if keep_text else F.lit(None).cast("string")).alias("kept"))
+    apart = docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), (text if keep_text else F.lit(None).cast("string")).alias("kept"), F.xxhash64(text).alias("row"))
     docs = docs.where("doc_id is not null")
     total, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if not n_docs:
@@ -460,4 +461,4 @@ def repeated_passages(docs: DataFrame, keep_text: bool = False, chunk_bytes: int
 
 
 def op10_repeated_passages(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "row")

@@ -562,3 +562,14 @@ def test_word_encoder_agrees_with_the_library():
         ids, ends = own.encode(pa.array(texts, pa.string()))
         for i, text in enumerate(texts):
             assert ids[ends[i] : ends[i + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_key_ranges_part_no_key():
+    r = np.random.default_rng(7)
+    for n in (1, 5, 1024, 5000, 20_000):
+        keys = np.sort(r.integers(0, r.integers(1, n + 1), n))
+        cuts = suffixes._key_ranges(keys)
+        assert [x for x, _ in cuts] == [0, *(y for _, y in cuts[:-1])] and cuts[-1][1] == n
+        assert all(keys[x - 1] != keys[x] for x, _ in cuts[1:])
+        longest = np.bincount(keys).max()
+        assert all(y - x <= suffixes._SORTED + longest for x, y in cuts)

@@ -51,10 +51,57 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in docs.collect()} == set(kept[3])
 
 
+def check_pieces(spark, out, docs):
+    """Each kept document's ids lie in its pieces once, and in no other row."""
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.select("doc_id", "text").collect())
+    covered, rows = Counter(), out.collect()
+    for r in rows:
+        covered[r.doc_id, r.doc_tokens] += r.length
+    assert covered == Counter({k: k[1] * n for k, n in want.items()})
+    for s in {r.sequence_id for r in rows}:
+        size = sum(r.length for r in rows if r.sequence_id == s)
+        assert size == 4096 or size & (size - 1) == 0
+
+
+def kept_by_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder), "test")
+    return docs
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
-    assert out.count() > 0
+    check_pieces(spark, out, kept_by_stages(spark, folder))
+
+
+def test_run_on_odd_rows(spark, folder, tmp_path):
+    """Rows without an id, repeated rows, an id with two texts, null and empty texts, and columns named like working ones."""
+    base = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    texts = {r.doc_id: r.text for r in base.where("doc_id < 4").collect()}
+    odd = [(None, prose(90, 71), "a", "s", 0), (None, None, "a", "s", 0), (3, texts[3], "b", "s", 0), (200, prose(80, 72), "a", "s", 0), (200, prose(70, 73), "a", "s", 0), (201, "", "a", "s", 0)]
+    docs = base.unionByName(spark.createDataFrame(odd, SCHEMA))
+    for name in ("id", "node", "row", "chunk", "kept", "label", "bucket", "simhash"):
+        docs = docs.selectExpr("*", f"1 as {name}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = kept_by_stages(spark, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.select("doc_id").collect())
+    assert found.count((True, 0)) == 1 and found.count((False, 200)) == 2 and (False, 201) not in found
+    assert {d for none, d in found if not none} == {*range(60), 200}
+    check_pieces(spark, corpus_pipeline.run(spark, str(tmp_path)), kept)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_filters_agree_with_their_operators(spark, folder):
