@@ -23,9 +23,10 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in no language: without letters, or too unlike all that were learned."""
-    found = predict(docs, train(docs))
-    rejected = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(materialize(rejected, "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    row = F.xxhash64("doc_id", "text")  # rows may share an id, or have none
+    found = predict(docs.select(row.alias("doc_id"), "text"), train(docs))
+    rejected = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("__row")).distinct()
+    return docs.join(materialize(rejected, "rejected"), row == F.col("__row"), "left_anti").select(*docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +38,17 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each connected group of near-duplicates stays, that with the smallest id."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select("doc_id")  # an id is kept if one of its rows is
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages that a document with a smaller id also has out of all texts; a document of which nothing is left goes."""
-    changed = repeated_passages(docs, keep_text=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"))
-    changed = materialize(changed, "changed")
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("_kept", "text"))
-    out = out.where(F.col("_kept").isNull() | (F.trim("_kept") != ""))
+    changed = repeated_passages(docs, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("kept").alias("__kept"))
+    changed = materialize(changed.dropDuplicates(["__id", "__row"]), "changed")
+    out = docs.join(changed, (docs["doc_id"] == changed["__id"]) & (F.xxhash64(docs["text"]) == changed["__row"]), "left").withColumn("text", F.coalesce("__kept", "text"))
+    out = out.where(F.col("__kept").isNull() | (F.trim("__kept") != ""))
     return _with_length(out).select(*docs.columns)
 
 
