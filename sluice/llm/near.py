@@ -19,6 +19,7 @@ columns cannot clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,16 @@ _MASKS = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[0x41:0x5B] += 0x20
 _STEP = 4 << 20  # bytes of text that are cut into words at a time, beside one text
+_REMEMBERED = 8192  # sets of which the pairs that differ are noted, a byte each
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    return list(each_shingle_set(texts))
+
+
+def each_shingle_set(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles. Letters beyond ASCII keep their case, and only ASCII white space divides, as asked."""
-    found: list[np.ndarray] = []
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = np.searchsorted(sizes, np.arange(_STEP, int(sizes[-1]) if len(sizes) else 0, _STEP)) + 1
     borders = sorted({0, *cuts.tolist(), len(texts)})
@@ -69,13 +74,13 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
                 keep = np.empty(len(s), bool)
                 keep[0] = True
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
-                found.append(s[keep])
+                yield s[keep]
             elif n:
                 with np.errstate(over="ignore"):
-                    found.append(_mixed((h[first:end] * _PLACE[:n]).sum(keepdims=True) + np.uint64(n)))
+                    s = _mixed((h[first:end] * _PLACE[:n]).sum(keepdims=True) + np.uint64(n))
+                yield s
             else:
-                found.append(np.zeros(0, np.uint64))
-    return found
+                yield np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -119,33 +124,43 @@ def _linked(sets: list[np.ndarray]):
     n = len(sets)
     if n < 2:
         return
-    links, differ, found = Links(n), set(), []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    tokens, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    links, found, marked = Links(n), [], np.zeros(len(tokens), bool)
+    differ = np.zeros(n * n if n <= _REMEMBERED else 0, bool)
 
-    def similar(x: int, y: int) -> bool:
-        a, b = sets[x], sets[y]
-        if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    def similar(x: int, others: np.ndarray) -> np.ndarray:
+        own, lengths = token[starts[x] : starts[x] + sizes[x]], sizes[others]
+        begins = np.cumsum(lengths) - lengths
+        marked[own] = True
+        both = np.add.reduceat(marked[token[np.repeat(starts[others] - begins, lengths) + np.arange(lengths.sum())]], begins, dtype=np.int64)
+        marked[own] = False
+        return 100 * both >= PERCENT * (len(own) + lengths - both)
 
     def close(a, b):
-        out = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            pair = x * n + y if x < y else y * n + x
-            if links.find(x) == links.find(y):
-                out[i] = True
-            elif pair not in differ:
-                if similar(x, y):
-                    links.join(x, y)
-                    found.append((x, y))
-                    out[i] = True
-                else:
-                    differ.add(pair)
-        return out
+        pair, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
+        x, y = pair // n, pair % n
+        hit = 100 * np.minimum(sizes[x], sizes[y]) >= PERCENT * np.maximum(sizes[x], sizes[y])
+        if len(differ):
+            hit &= ~differ[pair]
+        todo = np.flatnonzero(hit)
+        if len(todo):
+            i, j = x[todo], y[todo]
+            swap = np.bincount(j, minlength=n)[j] > np.bincount(i, minlength=n)[i]  # the one in more pairs is marked
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.argsort(i, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+                hit[todo[part]] = similar(i[part[0]], j[part])
+        if len(differ):
+            differ[pair[~hit]] = True
+        for i, j in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
+            if links.find(i) != links.find(j):
+                links.join(i, j)
+                found.append((i, j))
+        return hit[at]
 
     # each set's rarest tokens, so many that two sets at the threshold share one of them
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tokens, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.uint64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(tokens), dtype=np.uint64)
     own = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(40), sizes) | rank[token]
@@ -265,7 +280,10 @@ def _alike(batches):
         def close(a, b):
             out = np.empty(len(a), bool)
             for i in range(0, len(a), 1 << 15):
-                out[i : i + (1 << 15)] = agreeing(sketch[a[i : i + (1 << 15)]], sketch[b[i : i + (1 << 15)]]) >= AGREE
+                x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+                near = 100 * np.minimum(weight[x], weight[y]) >= PERCENT * np.maximum(weight[x], weight[y])  # else never linked
+                near[near] = agreeing(sketch[x[near]], sketch[y[near]]) >= AGREE
+                out[i : i + (1 << 15)] = near
             return out
 
         label = connect(node, np.arange(len(node)), np.arange(len(node)), close)
@@ -299,7 +317,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, ma
     nodes = chosen_paths(classes.select("id", "weight", "sketch", "signature"), recall, levels, max_node)
     rows = nodes.select("node", "id", "weight", "sketch").repartition("node").sortWithinPartitions("node")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("content"))
-    links = link_sets(rows.mapInArrow(_alike, "node long, id long, root long, weight long"), texts, shingles, _linked, max_ids, max_weight)
+    links = link_sets(rows.mapInArrow(_alike, "node long, id long, root long, weight long"), texts, each_shingle_set, _linked, max_ids, max_weight, many=True)
     found = components(links)
     named = classes.select("set_digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_digest", F.coalesce("component", "id").alias("component_id"))
     out = full.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

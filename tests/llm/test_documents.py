@@ -503,6 +503,62 @@ def test_links_connect_all_that_share_a_set(spark, max_ids, max_weight):
     assert pairs and all(low[a] == low[b] for a, b in pairs)
 
 
+def test_links_of_a_large_group_read_each_content_once_for_a_block(spark):
+    """Overlapping sets of one large group: every pair is compared, but not once for each set."""
+    n, max_ids = 120, 20
+    r = random.Random(8)
+    rows = [(s, i, 0, 1) for s in range(30) for i in sorted({0, *r.sample(range(n), 100)})]
+    read = spark.sparkContext.accumulator(0)
+
+    def prepare(x):
+        read.add(1)
+        return x
+
+    def link(items):
+        yield from ((x, y) for x in range(len(items)) for y in range(x) if abs(items[x] - items[y]) == 1)
+
+    contents = spark.range(n).selectExpr("id", "id as content")
+    sets = spark.createDataFrame(rows, "node long, id long, root long, weight long")
+    found = groups.link_sets(sets, contents, prepare, link, max_ids, 10**6).collect()
+    assert set(reachable(n, [(x.a, x.b) for x in found])) == {0}
+    assert read.value <= n * (1 + n // max_ids)
+
+
+@pytest.mark.parametrize("spread", [1, 40])
+def test_connect_joins_all_close_pairs_of_a_key_without_all_pairs(spread):
+    """One large part with a few items apart in every key: pairs inside the part are looked at for the first places only."""
+    r, n, looked = np.random.default_rng(spread), 900, 0
+    value = np.where(r.random(n) < 0.98, 0, r.integers(1, 1 + spread, n) * 10)
+    item = np.concatenate([r.permutation(n), r.permutation(n)[:600], r.permutation(n)[:9], r.permutation(n)[:2]])
+    key = np.repeat(np.arange(4), [n, 600, 9, 2])
+
+    def close(a, b):
+        nonlocal looked
+        looked += len(a)
+        return value[a] == value[b]
+
+    label = groups.connect(key, item, np.arange(n), close)
+    assert all((label[a] == label[b]) == (value[a] == value[b]) for a in range(0, n, 7) for b in range(n))
+    assert looked < 120 * n
+
+
+def test_similar_sets_against_all_pairs():
+    """Sets around one text, with some apart from it, in groups with and without notes of the pairs that differ."""
+    r = np.random.default_rng(3)
+    sets = []
+    for i in range(150):
+        s = np.arange(60, dtype=np.uint64)
+        s[r.permutation(60)[: r.integers(0, 14 if i % 5 else 40)]] += np.uint64(1000 + 100 * i)
+        sets.append(np.sort(s[: r.integers(40, 61)]))
+    linked = [(a, b) for a in range(150) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+    for remembered in (8192, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near, "_REMEMBERED", remembered)
+            found = list(near._linked(sets))
+        assert set(found) <= {(b, a) for a, b in linked} and reachable(150, found) == reachable(150, linked)
+    assert len(set(reachable(150, linked))) > 5
+
+
 def test_packing_fills_windows_with_the_best_neighbours(spark):
     """Every piece, against plain BM25 over all documents in a single shard."""
     from collections import Counter
