@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, materialize
+from .common import components, is_empty, materialize, returning
 
 
 BROADCAST_ROWS = 500_000  # of 16 bytes
@@ -69,7 +69,7 @@ def compare_nodes(nodes: DataFrame, contents: DataFrame, prepare: Callable, link
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = nodes.join(contents, "id").select("node", "id", "content").repartition("node").sortWithinPartitions("node", "id")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(returning(run), "a long, b long")
 
 
 def connect(key: np.ndarray, item: np.ndarray, label: np.ndarray, close: Callable) -> np.ndarray:

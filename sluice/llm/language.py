@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import returning
+
 UNKNOWN = "und"
 PAD = 256
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -247,7 +249,7 @@ def predict(docs: DataFrame, net: ByteGru | None) -> DataFrame:
                 scores = np.where(clear, np.minimum(p.max(axis=1), 1.0), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id long, lang_pred string, score double")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

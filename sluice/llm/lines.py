@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, returning
 from .groups import Links, connect, link_sets
 
 RADIUS = 7
@@ -386,8 +386,8 @@ def near_lines(lines: DataFrame, n_lines: int, parts: int) -> DataFrame:
     masks_of = choices(*layout(n_lines))
     parts = max(parts, -(-n_lines * len(masks_of) * _MEMBER.itemsize // _PART))
     sent = lines.select("id", "simhash", F.octet_length("content").cast("long").alias("weight"))
-    dealt = sent.mapInArrow(_dealt([mask for mask, _ in masks_of]), "part long, members binary").repartition(parts, "part")
-    return dealt.mapInArrow(_close(masks_of), "node long, id long, root long, weight long")
+    dealt = sent.mapInArrow(returning(_dealt([mask for mask, _ in masks_of])), "part long, members binary").repartition(parts, "part")
+    return dealt.mapInArrow(returning(_close(masks_of)), "node long, id long, root long, weight long")
 
 
 # -- the operator ----------------------------------------------------------------------------------------------
@@ -399,7 +399,7 @@ def repeated_lines(docs: DataFrame, max_ids: int = 2000, max_weight: int = 4_000
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _PART))
     schema = "id long, doc_id long, row long, position int, simhash long, content binary"
-    found = materialize(docs.mapInArrow(_combined(parts), _STRETCH).repartition(parts, "part").mapInArrow(_merged, schema), "lines")
+    found = materialize(docs.mapInArrow(returning(_combined(parts)), _STRETCH).repartition(parts, "part").mapInArrow(returning(_merged), schema), "lines")
     lines = found.where("simhash is not null")
     sets = near_lines(lines, lines.count(), parts)
     links = link_sets(sets, lines.select("id", "content"), _prepared, _linked, max_ids, max_weight)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, materialize
+from .common import components, is_empty, materialize, returning
 from .groups import Links, connect, link_sets
 from .lines import word_hashes
 
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "set_digest", "sketch", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, sketch binary, signature array<long>")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id long, n_shingles long, set_digest binary, sketch binary, signature array<long>")
 
 
 def _linked(sets: list[np.ndarray]):
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, recall: float = 0.9999, levels: int = 3, ma
     nodes = chosen_paths(classes.select("id", "weight", "sketch", "signature"), recall, levels, max_node)
     rows = nodes.select("node", "id", "weight", "sketch").repartition("node").sortWithinPartitions("node")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("content"))
-    links = link_sets(rows.mapInArrow(_alike, "node long, id long, root long, weight long"), texts, each_shingle_set, _linked, max_ids, max_weight, many=True)
+    links = link_sets(rows.mapInArrow(returning(_alike), "node long, id long, root long, weight long"), texts, each_shingle_set, _linked, max_ids, max_weight, many=True)
     found = components(links)
     named = classes.select("set_digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_digest", F.coalesce("component", "id").alias("component_id"))
     out = full.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -629,3 +631,38 @@ def test_key_ranges_part_no_key():
         assert all(keys[x - 1] != keys[x] for x, _ in cuts[1:])
         longest = np.bincount(keys).max()
         assert all(y - x <= suffixes._SORTED + longest for x, y in cuts)
+
+
+HELD_BY_A_TASK = """
+import os, random, sys
+import pyarrow as pa
+from sluice.llm import near
+
+class Table:
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+def held():
+    size, resident, shared = map(int, open("/proc/self/statm").read().split()[:3])
+    return (resident - shared) * os.sysconf("SC_PAGESIZE") >> 20
+
+def batches():
+    rng = random.Random(5)
+    for _ in range(2):
+        texts = [" ".join(f"{rng.getrandbits(28):x}" for _ in range(250)) for _ in range(8000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+run = near.sketches(Table())
+before = held()
+for _ in run(batches()):
+    pass
+del _
+print(before, held())
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="/proc")
+def test_a_task_gives_back_the_memory_of_its_peak():
+    done = subprocess.run([sys.executable, "-c", HELD_BY_A_TASK], capture_output=True, text=True, check=True)
+    before, after = map(int, done.stdout.split()[-2:])
+    assert after - before < 50
